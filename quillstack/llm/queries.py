@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillstack.llm import bpe, langid
+from quillstack.llm import bpe, langid, pii, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_bpe": bpe.query,
+    "op5_pii": pii.query,
+    "op8_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {}
