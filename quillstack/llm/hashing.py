@@ -82,4 +82,4 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 def sequence_hash(words: np.ndarray) -> int:
     """A hash of a whole sequence of words."""
     n = len(words)
-    return int(mix(np.array([(words * _powers(n)[::-1]).sum(dtype=U) + U(n)], U))[0]) if n else 0
+    return int(mix(np.array([(words * _powers(n)[:n][::-1]).sum(dtype=U) + U(n)], U))[0]) if n else 0
