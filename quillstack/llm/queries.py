@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillstack.llm import bpe, langid, minhash, pii, substring, toxicity
+from quillstack.llm import bpe, langid, lines, minhash, pii, substring, toxicity
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_bpe": bpe.query,
     "op4_minhash": minhash.query,
     "op5_pii": pii.query,
+    "op6_line_dedup": lines.query,
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substring.query,
 }
