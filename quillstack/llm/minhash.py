@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import attach, stage, table
+from quillstack.llm.common import attach, row_key, stage, table
 from quillstack.llm.components import link_buckets
 from quillstack.llm.hashing import U, mix, sequence_hash, windows, word_hashes
 
@@ -132,10 +132,10 @@ def _similar_sketches(a: str, b: str):
 
 
 def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Returns (rows, classes): rows (doc_id, n, set_key), one for each document; classes (set_key,
-    component_id), one for each shingle set that some other set or document is linked with."""
+    """Returns (rows, classes): rows (_k, doc_id, n, set_key), one for each document; classes (set_key,
+    component_id, group), one for each shingle set, with the least id and the least set of its component."""
     data = F.col(text).cast("binary")
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), features()(data).alias("f")).select("doc_id", "f.*"))
+    rows = stage(docs.select(row_key(doc_id, text).alias("_k"), F.col(doc_id).alias("doc_id"), features()(data).alias("f")).select("_k", "doc_id", "f.*"))
     filled = rows.where("n > 0")
     classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
@@ -158,7 +158,7 @@ def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     labels = link_buckets(members, verify)
     labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id"))
+    return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")))
 
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,5 +169,17 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that are near duplicates of one that stays: of each component the one of
+    the least id, then row key. Texts without words all stay; rows of one id and one text are one document."""
+    rows, classes = find_near_duplicates(docs.select(doc_id, text), doc_id, text)
+    placed = rows.where("n > 0").join(classes, "set_key").select("_k", "doc_id", "set_key", "group")
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k"))["_k"].alias("first"))
+    gone = stage(placed.join(first, "group").where("_k <> first").select("_k").distinct())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("_row"), row_key(f"`{doc_id}`", f"`{text}`").alias("_k"))
+    return attach(keyed, gone, "_k", [], "left_anti").select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))

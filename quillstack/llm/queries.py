@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from quillstack.llm import bpe, langid, lines, minhash, pii, substring, toxicity
+from quillstack.llm import bpe, decontaminate, langid, lines, minhash, pii, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
     "op2_bpe": bpe.query,
+    "op3_topk": topk.query,
     "op4_minhash": minhash.query,
     "op5_pii": pii.query,
     "op6_line_dedup": lines.query,
+    "op7_decontamination": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_substring_dedup": substring.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES: dict[str, str] = {}
