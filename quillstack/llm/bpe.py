@@ -11,11 +11,12 @@ rows give equal results. An id outside the vocabulary cannot be decoded and rais
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
 import numpy as np
@@ -24,11 +25,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, table
+from quillstack.llm.common import Memo, arrow_udf, table
 
-CACHE = 150_000
-#: A pre-token longer than this is not worth a place in the cache.
-CACHED_CHARS = 64
+#: Chunks and pre-tokens whose ids are remembered; longer ones are not worth a place.
+CACHE, CACHED_CHARS = 200_000, 64
+#: Bits of an id, and of a place in a pre-token.
+WIDTH = 40
+PLACE = (1 << WIDTH) - 1
+#: Rows and ids that are worked on at a time.
+ROWS, PIECE = 500, 1 << 20
 # White_Space, and the byte alphabet's printable ranges.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers of Unicode 17.0 that 16.0 lacks: the tokenizers library takes them for neither.
@@ -37,6 +42,8 @@ NEWER = (
     "16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 "
     "1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
+#: A chunk is a run without white space and the single space before it: the splitting pattern never joins two chunks.
+CHUNKS = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 NEWER_SET = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NEWER.split())
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
@@ -73,44 +80,58 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(alphabet[c] for c in s) for s, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.first = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.ranks = {vocab[a] << WIDTH | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [vocab[a + b] for a, b in merges]
         self.newer, self.split, self.split_newer = splitters()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memo = Memo(self._packed, CACHE)
+        self.tokens = Memo(self._packed, CACHE)
+        self.chunks = Memo(self._chunk, CACHE)
+        size = max(self.bytes) + 1
+        self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
 
     def merge(self, data: bytes) -> list[int]:
-        """Token ids of one pre-token's bytes."""
-        ids: list[int] = [self.first[b] for b in data]
+        """Token ids of one pre-token's bytes. A queue entry is a rank and, in its low bits, the place of the left symbol."""
+        first = self.first
+        ids = [first[b] for b in data]
         n = len(ids)
         if n < 2:
             return ids
-        ranks = self.ranks
+        rank_of, made = self.ranks.get, self.made
+        queue = [rank << WIDTH | i for i, (a, b) in enumerate(pairwise(ids)) if (rank := rank_of(a << WIDTH | b)) is not None]
+        if not queue:
+            return ids
+        heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(found[0], i, found[1], pair) for i, pair in enumerate(pairwise(ids)) if (found := ranks.get(pair))]
-        heapq.heapify(queue)
         while queue:
-            _, i, made, pair = heapq.heappop(queue)
-            j = after[i]
-            if j >= n or (ids[i], ids[j]) != pair:
-                continue  # stale: one of the two has been merged away
-            ids[i], ids[j] = made, -1
+            entry = heappop(queue)
+            i, rank = entry & PLACE, entry >> WIDTH
+            a, j = ids[i], after[i]
+            if a < 0 or j >= n or rank_of(a << WIDTH | ids[j]) != rank:
+                continue  # stale: one of the two has been merged since
+            ids[i], ids[j] = new, _ = made[rank], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := ranks.get((made, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1], (made, ids[k])))
-            if (h := before[i]) >= 0 and (found := ranks.get((ids[h], made))):
-                heapq.heappush(queue, (found[0], h, found[1], (ids[h], made)))
+                if (rank := rank_of(new << WIDTH | ids[k])) is not None:
+                    heappush(queue, rank << WIDTH | i)
+            h = before[i]
+            if h >= 0 and (rank := rank_of(ids[h] << WIDTH | new)) is not None:
+                heappush(queue, rank << WIDTH | h)
         return [x for x in ids if x >= 0]
 
     def _packed(self, token: str) -> bytes:
-        return np.array(self.merge(token.encode()), np.int32).tobytes()
+        return array("i", self.merge(token.encode())).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        split = self.split if chunk.isascii() or not self.newer.search(chunk) else self.split_newer
+        return b"".join([self.tokens[t] if len(t) <= CACHED_CHARS else self._packed(t) for t in split.findall(chunk)])
 
     def _plain(self, text: str) -> bytes:
-        memo = self.memo
-        split = self.split if text.isascii() or not self.newer.search(text) else self.split_newer
-        return b"".join([memo[t] if len(t) <= CACHED_CHARS else self._packed(t) for t in split.findall(text)])
+        chunks = self.chunks
+        return b"".join([chunks[c] if len(c) <= CACHED_CHARS else self._chunk(c) for c in CHUNKS.findall(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids of a whole text."""
@@ -121,9 +142,17 @@ class Vocabulary:
         parts = self.split_special.split(text)
         return np.frombuffer(b"".join(np.int32(self.special[p]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts)), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        out = []
+        for at in range(0, len(ids), PIECE):
+            piece = ids[at : at + PIECE]
+            if len(piece) and (piece.min() < 0 or piece.max() >= len(self.lengths) or not self.lengths[piece].all()):
+                raise KeyError("an id outside the vocabulary")
+            size = self.lengths[piece]
+            shift = self.starts[piece] - (np.cumsum(size) - size)
+            out.append(self.blob[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -131,17 +160,26 @@ def _loaded(content: str) -> Vocabulary:
     return Vocabulary(content)
 
 
+def as_lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+
+def slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of few rows, so that what a worker holds stays small."""
+    for at in range(0, len(batch), ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def encoder(spark: SparkSession, content: str):
     """A function of a text column to its token ids (array<int>; never null)."""
     shared = spark.sparkContext.broadcast(content)
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _loaded(shared.value)
         for batch in batches:
-            found = [vocabulary.encode(t) for t in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            yield pa.concat_arrays([as_lists([vocabulary.encode(t) for t in part.to_pylist()]) for part in slices(batch)])
 
     return ids
 
@@ -150,15 +188,32 @@ def decoder(spark: SparkSession, content: str):
     """A function of a column of token ids to the text they stand for (null ids: empty)."""
     shared = spark.sparkContext.broadcast(content)
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _loaded(shared.value)
         for batch in batches:
-            yield pa.array([vocabulary.decode(x or ()) for x in batch.to_pylist()], pa.string())
+            yield pa.array([vocabulary.decode(np.zeros(0, np.int32) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False)) for x in batch], pa.string())
 
     return text
 
 
+def codec(spark: SparkSession, content: str):
+    """A function of a text column to struct<ids, decoded>: encoded, and decoded from these ids again."""
+    shared = spark.sparkContext.broadcast(content)
+
+    @arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = _loaded(shared.value)
+        for batch in batches:
+            parts = []
+            for part in slices(batch):
+                found = [vocabulary.encode(t) for t in part.to_pylist()]
+                parts.append(pa.StructArray.from_arrays([as_lists(found), pa.array([vocabulary.decode(x) for x in found], pa.string())], names=["ids", "decoded"]))
+            yield pa.concat_arrays(parts)
+
+    return both
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -169,9 +224,8 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) ->
     """df with columns ids (array<int>) and decoded (string) added or replaced."""
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         content = f.read()
-    spark = df.sparkSession
-    encoded = df.withColumn("ids", encoder(spark, content)(F.col(text)))
-    return encoded.withColumn("decoded", decoder(spark, content)(F.col("ids")))
+    done = df.withColumn("_codec", codec(df.sparkSession, content)(F.col(text)))
+    return done.withColumns({"ids": F.col("_codec.ids"), "decoded": F.col("_codec.decoded")}).drop("_codec")
 
 
 def ids_digest(ids: Column) -> Column:
