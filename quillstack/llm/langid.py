@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, stage, table
+from quillstack.llm.common import arrow_udf, stage, table
 from quillstack.llm.hashing import U, mix
 
 ORDER = 5
 #: About so many documents of each language train the models; every fifth of them only calibrates.
 SAMPLE_DOCS = 600
-CACHE = 120_000
-CACHED_CHARS = 48
+#: Tokens that a worker remembers, up to what length, and the texts it works on at a time.
+CACHE, CACHED_CHARS, ROWS = 300_000, 48, 200
 UND = "und"
 #: Rejection: cross-entropy per character beyond the calibration documents' mean by so many deviations, and by MARGIN nats at least.
 DEVIATIONS, MARGIN = 8.0, 2.0
@@ -49,6 +49,15 @@ def _ngrams(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mix(h + U(n)), ends
 
 
+def _longest(codes: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Hashes of the longest n-grams, of up to ORDER characters, that end at these places and stay in their words."""
+    h = np.zeros(len(places), U)
+    back = at[places]
+    for i in range(ORDER - 1, -1, -1):
+        h = h * _BASE + np.where(back >= i, codes[np.maximum(places - i, 0)], U(0))
+    return mix(h)
+
+
 def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all words, each between two boundaries; places within words; starts of words."""
     joined = "".join(f" {w} " for w in words)
@@ -69,14 +78,12 @@ class Models:
     limits: np.ndarray
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of every place: the natural logarithm of its character's probability, by language."""
-        out = np.zeros((len(codes), len(self.languages)), np.float32)
-        todo = at > 0
-        h, ends = _ngrams(codes, at, ORDER)
-        known, rows = _search(self.whole[0], h)
-        out[ends[known]] = self.whole[1][rows[known]]
-        todo[ends[known]] = False
-        left = np.flatnonzero(todo)
+        """Of every place but the words' first boundaries: the natural logarithm of its character's probability, by language."""
+        places = np.flatnonzero(at > 0)
+        out = np.zeros((len(codes), len(self.languages)))
+        known, rows = _search(self.whole[0], _longest(codes, at, places))
+        out[places[known]] = self.whole[1][rows[known]]
+        left = places[~known]
         if len(left):
             out[left] = self._interpolated(codes, at, left)
         return out
@@ -114,7 +121,7 @@ def _search(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _order_table(kinds: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """One sorted array of the hashes of all languages, and a row of values for each."""
-    keys = np.unique(np.concatenate([k for k, _ in kinds]))
+    keys = np.unique(np.concatenate([np.zeros(0, U), *(k for k, _ in kinds)]))
     values = np.zeros((len(keys), len(kinds)))
     for column, (k, v) in enumerate(kinds):
         values[np.searchsorted(keys, k), column] = v
@@ -173,11 +180,11 @@ def train(counts: dict[str, list[tuple[str, int]]], calibration: dict[str, list[
             values[~np.isin(keys, c[n][0]), column] = 1.0
         models.contexts.append((keys, values))
     keys, rows = [], []
-    for codes, at in longest:  # every full-length n-gram seen in training, resolved once
-        h, ends = _ngrams(codes, at, ORDER)
-        h, one = np.unique(h, return_index=True)
+    for codes, at in longest:  # every longest n-gram seen in training, resolved once
+        places = np.flatnonzero(at > 0)
+        h, one = np.unique(_longest(codes, at, places), return_index=True)
         keys.append(h)
-        rows.append(models._interpolated(codes, at, ends[one]).astype(np.float32))
+        rows.append(models._interpolated(codes, at, places[one]))
     if keys:
         h, one = np.unique(np.concatenate(keys), return_index=True)
         models.whole = (h, np.concatenate(rows)[one])
@@ -189,42 +196,58 @@ def train(counts: dict[str, list[tuple[str, int]]], calibration: dict[str, list[
 
 
 class Scorer:
-    """Cross-entropies of whole texts; white-space tokens that come again are taken from a bounded cache."""
+    """Cross-entropies of whole texts. Each different token is scored once, together with the other new ones
+    of a few hundred texts, and kept as a row of a table that starts afresh when it is full."""
 
     def __init__(self, models: Models):
         self.models = models
-        self.memo = Memo(self._token, CACHE)
-        self.none = (np.zeros(len(models.languages)), 0)
-
-    def _token(self, token: str) -> tuple[np.ndarray, int]:
-        words = LETTERS.findall(token.lower())
-        return (self.models.words(words).sum(axis=0), sum(len(w) + 1 for w in words)) if words else self.none
-
-    def warm(self, texts: list[str]) -> list[list[str]]:
-        """Split texts, and score the tokens that the cache lacks in one go."""
-        split, memo = [t.split() for t in texts], self.memo
-        fresh = list({t for tokens in split for t in tokens if t not in memo and t not in memo.old and len(t) <= CACHED_CHARS})
-        parts = [LETTERS.findall(t.lower()) for t in fresh]
-        words = [w for p in parts for w in p]
+        self.rows: dict[str, int] = {}
+        self.used = 0
+        self.table = np.zeros((CACHE, len(models.languages) + 1))  # log-probabilities by language, and characters
+
+    def _learn(self, tokens: list[str]) -> None:
+        start = self.used
+        self.used += len(tokens)
+        if start + len(tokens) > len(self.table):
+            self.table = np.vstack((self.table[:start], np.zeros((start + 2 * len(tokens), self.table.shape[1]))))
+        words, owner = [], []
+        for i, token in enumerate(tokens, start):
+            self.rows[token] = i
+            for w in LETTERS.findall(token.lower()):
+                words.append(w)
+                owner.append(i)
+        self.table[start : start + len(tokens)] = 0
         if words:
-            ends = np.cumsum([len(p) for p in parts])
-            sums = np.vstack((np.zeros((1, len(self.models.languages))), np.cumsum(self.models.words(words), axis=0)))
-            for token, p, end in zip(fresh, parts, ends, strict=True):
-                if p and len(memo) < memo.cap:
-                    memo[token] = (sums[end] - sums[end - len(p)], sum(len(w) + 1 for w in p))
-        return split
-
-    def score(self, tokens: list[str]) -> tuple[str, float, bool]:
-        memo, languages = self.memo, self.models.languages
-        found = [memo[t] if len(t) <= CACHED_CHARS else self._token(t) for t in tokens]
-        chars = sum([n for _, n in found])
-        if not chars or not languages:
+            np.add.at(self.table[:, :-1], owner, self.models.words(words))
+            np.add.at(self.table[:, -1], owner, [len(w) + 1 for w in words])
+
+    def score(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        languages = self.models.languages
+        if not languages:
+            return [(UND, 0.0, False)] * len(texts)
+        split, rows = [t.split() for t in texts], self.rows
+        if fresh := {t for tokens in split for t in tokens if t not in rows}:
+            if self.used + len(fresh) > CACHE:
+                rows.clear()
+                self.used = 0
+                fresh = {t for tokens in split for t in tokens}
+            self._learn(sorted(fresh))
+        out = []
+        for tokens in split:
+            sums = self.table[[rows[t] for t in tokens]].sum(axis=0) if tokens else self.table[0] * 0
+            out.append(self._decide(sums[:-1], sums[-1]))
+        for t in fresh:
+            if len(t) > CACHED_CHARS:
+                del rows[t]
+        return out
+
+    def _decide(self, sums: np.ndarray, chars: float) -> tuple[str, float, bool]:
+        if not chars:
             return UND, 0.0, False
-        entropy = -np.sum([v for v, _ in found], axis=0) / chars
-        entropy = np.round(entropy, 9)  # the order of summation does not decide ties
+        entropy = np.round(-sums / chars, 9)  # the order of summation does not decide ties
         best = int(np.argmin(entropy))
         odds = np.exp(-np.minimum((entropy - entropy[best]) * min(chars, 200), 700))
-        return languages[best], round(float(1 / odds.sum()), 6), bool(entropy[best] <= self.models.limits[best])
+        return self.models.languages[best], round(float(1 / odds.sum()), 6), bool(entropy[best] <= self.models.limits[best])
 
 
 def predictor(spark: SparkSession, models: Models):
@@ -232,14 +255,14 @@ def predictor(spark: SparkSession, models: Models):
     shared = spark.sparkContext.broadcast(models)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
-    @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
+    @arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.to_pylist()]
-            for at in range(0, len(texts), 500):
-                rows += [scorer.score(tokens) for tokens in scorer.warm(texts[at : at + 500])]
+            for at in range(0, len(texts), ROWS):
+                rows += scorer.score(texts[at : at + ROWS])
             yield pa.array([dict(zip(("lang_pred", "score", "accepted"), r, strict=True)) for r in rows], kind)
 
     return predict
