@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest build side, in bytes of its own columns, that attach() sends to every executor.
 BROADCAST_BYTES = 24 << 20
+#: Rows and bytes of an Arrow batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rough size of one row of a hash relation besides its own columns.
 ROW_OVERHEAD = 48
 
@@ -47,6 +49,17 @@ def stage(df: DataFrame) -> DataFrame:
     return Staged(df).df
 
 
+def arrow_udf(kind: str):
+    """F.arrow_udf, with Arrow batches of the session bounded to what small Python workers can hold."""
+    small_batches(SparkSession.active())
+    return F.arrow_udf(kind)
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def row_key(*cols: str | Column) -> Column:
     """A non-null 64-bit key of a row's content: rows that repeat share it and get the same answer."""
     return F.xxhash64(*cols)

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Staged, stage
+from quillstack.llm.common import Staged, attach, stage
 
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, form stars: every u has one v, and no v is a u."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return twice.isEmpty() and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
 
 
 def _star(directed: DataFrame, keep) -> DataFrame:
@@ -31,51 +33,51 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps; every round is a written table, so lineage stays short.
     """
-    held = Staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    seen = _state(held.df)
+    held = Staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(MAX_ROUNDS):
-        if not seen[0]:
+        if _settled(held.df):
             break
         e = held.df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, (F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _star(down, (F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")))
+        small = _star(large, (F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")))
         new = Staged(small)
-        state = _state(new.df)
         held.drop()
         held = new
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     stars = held.df
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """members (bucket, id), verify: pairs (a, b) -> those that are linked. Returns (node, label).
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """members (bucket, id); verify: pairs (a, b) -> those that are linked; sketches (id, sketch), and near:
+    two of their columns -> whether a pair may be linked. Returns (node, label).
 
     Two ids end in one component exactly if a chain of verified pairs, each sharing a bucket, joins them:
     first every member is compared with its bucket's least id; then, in buckets that still hold several
-    components, members outside the largest one are compared with all members of other components.
+    components, members outside the largest one are compared with all members of other components. What
+    near() rules out never leaves the joins.
     """
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    multi = stage(members.join(hubs, "bucket").select("bucket", "id", "hub"))
-    star = multi.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    hubs = stage(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub"))
+    multi = stage(attach(members, hubs, "bucket", ["hub"], "inner").select("bucket", "id", "hub"))
+    of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
+    pairs = multi.where("id <> hub").select("id", "hub").distinct()
+    star = pairs.join(sketches, "id").join(of_hub, "hub").where(near("sketch", "hub_sketch")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     first = stage(verify(star).select("a", "b"))
     labels = stage(components(first))
     known = labels.select(F.col("node").alias("id"), F.col("label"))
-    held = stage(multi.join(known, "id", "left").select("bucket", "id", "hub", F.coalesce("label", "id").alias("comp")))
-    parts = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "major")
-    rest = held.join(mixed, "bucket").where("id <> hub")
-    x = rest.where("comp <> major").select("bucket", F.col("id").alias("xi"), F.col("comp").alias("xc"))
-    y = rest.select("bucket", F.col("id").alias("yi"), F.col("comp").alias("yc"), "major")
-    cross = x.join(y, "bucket").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xi") < F.col("yi"))))
-    pairs = cross.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
-    second = stage(verify(pairs).select("a", "b"))
+    held = multi.where("id <> hub").select("bucket", "id").join(known, "id", "left").join(sketches, "id").select("bucket", "id", "sketch", F.coalesce("label", "id").alias("comp"))
+    ends = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    rest = stage(held.join(ends, "bucket"))
+    sizes = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("major"))
+    placed = rest.join(major, "bucket")
+    x = placed.where("comp <> major").select("bucket", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("sketch").alias("xs"))
+    y = placed.select("bucket", F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("sketch").alias("ys"), "major")
+    other = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xi") < F.col("yi")))
+    cross = x.join(y, (x["bucket"] == y["bucket"]) & other & near("xs", "ys"))
+    second = stage(verify(cross.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()).select("a", "b"))
     if second.isEmpty():
         return labels
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")

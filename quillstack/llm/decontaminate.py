@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import table
+from quillstack.llm.common import arrow_udf, table
 from quillstack.llm.hashing import U, mix, sequence_hash, windows
 
 SHINGLE = 5
@@ -173,7 +173,7 @@ def matcher(spark: SparkSession, items: list[tuple[int, str]]):
     shared = spark.sparkContext.broadcast(Index(items))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("similarity", pa.float64())]))
 
-    @F.arrow_udf("array<struct<item_id:bigint,start:int,end:int,similarity:double>>")
+    @arrow_udf("array<struct<item_id:bigint,start:int,end:int,similarity:double>>")
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
         for batch in batches:

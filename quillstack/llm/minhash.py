@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import attach, row_key, stage, table
+from quillstack.llm.common import arrow_udf, attach, row_key, stage, table
 from quillstack.llm.components import link_buckets
 from quillstack.llm.hashing import U, mix, sequence_hash, windows, word_hashes
 
@@ -36,7 +36,8 @@ SKETCH_BITS = 256
 PARTS, WHOLE = 75, 100
 #: An odd sketch's estimate is trusted to be off by less than this.
 SLACK = 0.3
-PIECE = 1 << 14
+#: Shingles that are hashed at a time, by all samples.
+PIECE = 256
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=U)) | U(1)
 _SALTS = mix(np.arange(1001, 1001 + SAMPLES, dtype=U))
 
@@ -60,9 +61,9 @@ def set_key(shingles: np.ndarray) -> int:
 def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(SAMPLES, np.iinfo(U).max, U)
     for at in range(0, len(shingles), PIECE):
-        piece = shingles[at : at + PIECE]
-        for i in range(SAMPLES):
-            least[i] = min(least[i], ((piece ^ _SALTS[i]) * _FACTORS[i]).min())
+        hashed = shingles[at : at + PIECE, None] ^ _SALTS
+        hashed *= _FACTORS
+        np.minimum(least, hashed.min(axis=0), out=least)
     return mix(least)
 
 
@@ -85,7 +86,7 @@ def features():
     """text (binary) -> struct<n, set_key, sketch, bands>."""
     kind = pa.struct([("n", pa.int64()), ("set_key", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<n:bigint,set_key:bigint,sketch:array<bigint>,bands:array<bigint>>")
+    @arrow_udf("struct<n:bigint,set_key:bigint,sketch:array<bigint>,bands:array<bigint>>")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, keys, sketches, bands = [], [], [], []
@@ -104,7 +105,7 @@ def features():
 def full_sets():
     """text (binary) -> struct<set_key, shingles: sorted 64-bit hashes as binary>."""
 
-    @F.arrow_udf("struct<set_key:bigint,shingles:binary>")
+    @arrow_udf("struct<set_key:bigint,shingles:binary>")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.to_pylist()]
@@ -116,7 +117,7 @@ def full_sets():
 def common_shingles():
     """Two sets as binary -> the size of their intersection."""
 
-    @F.arrow_udf("bigint")
+    @arrow_udf("bigint")
     def common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             yield pa.array([len(np.intersect1d(np.frombuffer(a, U), np.frombuffer(b, U), assume_unique=True)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
@@ -124,11 +125,13 @@ def common_shingles():
     return common
 
 
-def _similar_sketches(a: str, b: str):
-    """Whether two odd sketches leave the threshold open."""
-    differing = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _similar_sketches(a: str, b: str) -> Column:
+    """Whether sizes and odd sketches leave the threshold open."""
+    differing = F.aggregate(F.zip_with(f"{a}.odd", f"{b}.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     inner = F.greatest(1 - 2 * differing / SKETCH_BITS, F.lit(1e-3))
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(inner) >= PARTS / WHOLE - SLACK
+    estimate = 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(inner)
+    sizes = (F.col(f"{a}.n"), F.col(f"{b}.n"))
+    return (F.least(*sizes) * WHOLE >= F.greatest(*sizes) * PARTS) & (estimate >= PARTS / WHOLE - SLACK)
 
 
 def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -139,23 +142,21 @@ def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     filled = rows.where("n > 0")
     classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
-    sketches = classes.select("set_key", "sketch", "n", "least")
+    sketches = classes.select(F.col("set_key").alias("id"), F.struct("n", F.col("sketch").alias("odd")).alias("sketch"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sketches.select(F.col("set_key").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"), F.col("least").alias("la"))
-        b = sketches.select(F.col("set_key").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"), F.col("least").alias("lb"))
-        near = (F.least("na", "nb") * WHOLE >= F.greatest("na", "nb") * PARTS) & _similar_sketches("sa", "sb")
-        open_pairs = stage(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb", "la", "lb"))
-        wanted = stage(open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("la").alias("d")), F.struct(F.col("b").alias("k"), F.col("lb").alias("d")))).alias("x")).select("x.*").distinct())
-        sources = stage(wanted.select(F.xxhash64("d").alias("_d")).distinct())
-        texts = attach(docs.select(F.xxhash64(F.col(doc_id)).alias("_d"), data.alias("data")), sources, "_d", [], "left_semi")
+        found = stage(pairs)
+        ends = found.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        wanted = stage(classes.select("set_key", "least").join(ends, "set_key").select("set_key", F.xxhash64("least").alias("_d")))
+        texts = attach(docs.select(F.xxhash64(F.col(doc_id)).alias("_d"), data.alias("data")), stage(wanted.select("_d").distinct()), "_d", [], "left_semi")
         sets = texts.select(full_sets()(F.col("data")).alias("s")).select("s.*")
-        sets = stage(sets.join(wanted.select(F.col("k").alias("set_key")), "set_key", "left_semi").dropDuplicates(["set_key"]))
-        both = open_pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y")), "b")
+        sets = stage(sets.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
+        both = found.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y")), "b")
         counted = both.withColumn("common", common_shingles()(F.col("x"), F.col("y")))
-        return counted.where(F.col("common") * WHOLE >= (F.col("na") + F.col("nb") - F.col("common")) * PARTS).select("a", "b")
+        size = (F.length("x") + F.length("y")) / 8
+        return counted.where(F.col("common") * WHOLE >= (size - F.col("common")) * PARTS).select("a", "b")
 
-    labels = link_buckets(members, verify)
+    labels = link_buckets(members, verify, sketches, _similar_sketches)
     labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import table
+from quillstack.llm.common import arrow_udf, table
 
 KINDS = ("email", "ip", "card", "phone", "account", "address")
 BASE = KINDS[:4]
@@ -158,7 +158,7 @@ def find(text: str | None) -> list[Span]:
 def finder():
     """A function of a text column to its spans."""
 
-    @F.arrow_udf("array<struct<kind:string,start:int,end:int>>")
+    @arrow_udf("array<struct<kind:string,start:int,end:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import attach, row_key, stage, table
+from quillstack.llm.common import arrow_udf, attach, row_key, stage, table
 from quillstack.llm.hashing import U, windows, word_hashes
 
 WINDOW = 35
@@ -79,7 +79,7 @@ def ranges_of(data: bytes | None) -> np.ndarray:
 def anchors_udf():
     kind = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("weight", pa.int32())]))
 
-    @F.arrow_udf("array<struct<h:bigint,start:int,n:int,weight:int>>")
+    @arrow_udf("array<struct<h:bigint,start:int,n:int,weight:int>>")
     def anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [anchor_runs(word_hashes(t or b"")) for t in batch.to_pylist()]
@@ -94,7 +94,7 @@ def anchors_udf():
 def merged_udf():
     """starts and lengths -> merged ranges."""
 
-    @F.arrow_udf("binary")
+    @arrow_udf("binary")
     def merged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for starts, sizes in batches:
             rows = [(s.values.to_numpy(), n.values.to_numpy()) for s, n in zip(starts, sizes, strict=True)]
@@ -106,7 +106,7 @@ def merged_udf():
 def covered_udf():
     """Starts of repeated windows -> merged ranges of the words they cover."""
 
-    @F.arrow_udf("binary")
+    @arrow_udf("binary")
     def covered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for starts in batches:
             yield pa.array([ranges_to_bytes(s.values.to_numpy(), s.values.to_numpy() + WINDOW) for s in starts], pa.binary())
@@ -118,7 +118,7 @@ def windows_udf():
     """text and ranges of windows -> hash and place of each of these windows."""
     kind = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
-    @F.arrow_udf("array<struct<h:bigint,at:int>>")
+    @arrow_udf("array<struct<h:bigint,at:int>>")
     def hashed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ranges in batches:
             hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -139,7 +139,7 @@ def windows_udf():
 def removal_udf():
     """text and ranges of words -> struct<n_words, n_removed, kept>."""
 
-    @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
+    @arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def removed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ranges in batches:
             n, gone, kept = [], [], []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, table
+from quillstack.llm.common import Memo, arrow_udf, table
 
 BUCKETS = 1 << 18
 FACTORS = 6
@@ -117,7 +117,7 @@ def scorer(spark: SparkSession, machine: Machine):
     """A function of a text column to its score."""
     shared = spark.sparkContext.broadcast(machine)
 
-    @F.arrow_udf("double")
+    @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms, fitted = Terms(), shared.value
         for batch in batches:
@@ -129,7 +129,7 @@ def scorer(spark: SparkSession, machine: Machine):
 def hasher():
     """A function of a text column to its hashed terms."""
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def hashed_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms = Terms()
         for batch in batches:

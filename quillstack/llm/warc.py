@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import attach, shared_dir, stage, table
+from quillstack.llm.common import attach, shared_dir, small_batches, stage, table
 
 #: Payloads of fewer bytes are never made revisits.
 MIN_REVISIT_BYTES = 0
@@ -214,6 +214,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
             store.move(f"{path}.open", path)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
+    small_batches(pages.sparkSession)
     chosen = decided.select(page.alias("page"), "serial", "url", "data", refers.alias("refers"))
     return stage(chosen.mapInArrow(write, "path string, records bigint"))
 
