@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstack.llm import bpe, decontaminate, langid, lines, minhash, pii, substring, topk, toxicity, warc
+from quillstack.llm import bpe, decontaminate, langid, lines, minhash, oracles, pii, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": oracles.TOPK,
+    "op4_minhash": oracles.MINHASH,
+    "op9_substring_dedup": oracles.SUBSTRING,
+    "op10_warc": oracles.WARC,
+}
