@@ -55,12 +55,16 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     two of their columns -> whether a pair may be linked. Returns (node, label).
 
     Two ids end in one component exactly if a chain of verified pairs, each sharing a bucket, joins them:
-    first every member is compared with its bucket's least id; then, in buckets that still hold several
+    first every member is compared with its bucket's hub, the id that meets most others over all its buckets
+    (of a family of near copies that is the original, which they resemble more than each other); then, in buckets that still hold several
     components, members outside the largest one are compared with all members of other components. What
     near() rules out never leaves the joins.
     """
-    hubs = stage(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub"))
-    multi = stage(attach(members, hubs, "bucket", ["hub"], "inner").select("bucket", "id", "hub"))
+    shared = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = stage(attach(members, shared, "bucket", ["n"], "inner").select("bucket", "id", "n"))
+    central = held.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = held.join(central, "id").groupBy("bucket").agg(F.max_by("id", "weight").alias("hub"))
+    multi = stage(held.join(hubs, "bucket").select("bucket", "id", "hub"))
     of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
     pairs = multi.where("id <> hub").select("id", "hub").distinct()
     star = pairs.join(sketches, "id").join(of_hub, "hub").where(near("sketch", "hub_sketch")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
