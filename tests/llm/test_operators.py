@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,27 @@ def test_line_families_and_long_lines(spark):
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == expected
 
 
+def test_lines_against_edit_similarity(spark):
+    """One or two replaced, added or mistyped words: whatever the distance of fingerprints."""
+    draw = random.Random(11)
+    texts = []
+    for n in [2, 3, 4, 6, 9, 12, 12, 15, 20, 25, 30, 36, 45, 60, 90, 150]:
+        base = draw.sample(W, n)
+        texts.append(" ".join(base))
+        for _ in range(3):
+            words = list(base)
+            for _ in range(draw.randint(1, 2 if n > 12 else 1)):
+                at = draw.randrange(n)
+                word = words[at]
+                words[at] = draw.choice([draw.choice(W), word[:-1], word + "q", word[:1] + "z" + word[1:]])
+            texts.append(" ".join(words))
+    han = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(60))
+    texts += [han, han[:30] + "x" + han[31:], "abcdefghijklmnopqr", "abcdefghiXjklmnopqr"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == brute.dedup_lines(rows, defaultdict(int))
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 127, 128, 300, 5000])
 def test_simhash_is_a_majority(spark, n):
     row = spark.sql(f"SELECT transform(sequence(1, {n}), i -> xxhash64(i)) AS hs").withColumn("n", F.size("hs")).select("hs", lines.simhash("hs", "n").alias("f")).first()
