@@ -310,6 +310,17 @@ def test_toxicity_learns_pairs():
     assert both > 0.8 and max(one, other, none) < 0.2
 
 
+def test_toxicity_learns_pairs_without_marginal_effect():
+    """As many rows are toxic with the group as without it: only its pairs tell."""
+    terms, draw, rows = toxicity.Terms(), random.Random(5), []
+    for _ in range(4000):
+        kind, group = draw.choice(("insult", "slur", "")), draw.random() < 0.4
+        text = " ".join([*draw.sample(W[:200], 6), kind, "group" * group])
+        rows.append((terms.of(text), int(kind == "insult" and group or kind == "slur" and not group)))
+    machine = toxicity.train(rows[:3500])
+    assert np.mean([(machine.score(t) >= 0.5) == y for t, y in rows[3500:]]) > 0.9
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     rows = toxicity.query(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
