@@ -281,7 +281,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return train({}, {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample_docs / n) * 1_000_000))])
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, int(min(1.0, sample_docs / n) * 1_000_000)))])
     sample = stage(rows.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.lower("text").alias("text")))
     run = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     used = sample.where("draw % 5 <> 0 or draw = 0").select("lang", run).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))

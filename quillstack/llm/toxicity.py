@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     n = usable.count()
     if not n:
         return train([])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(min(1.0, sample_docs / n) * 1_000_000)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < max(1, int(min(1.0, sample_docs / n) * 1_000_000))
     rows = docs.where(draw).select("doc_id", hasher()(F.col("text")).alias("terms")).join(usable.where(draw), "doc_id").orderBy("doc_id", "toxic", F.hash("terms"))
     return train([(np.array(r["terms"], np.int64), r["toxic"]) for r in rows.select("terms", "toxic").toLocalIterator()])
 
