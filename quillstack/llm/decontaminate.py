@@ -7,7 +7,8 @@ are then compared exactly, by the weighted similarity of their five-word shingle
 letters as it has, and counts as often as it occurs), and count from THRESHOLD on.
 
 Windows are only moved where they can matter: a pair of similarity above 0 has a shingle in common, so
-windows that hold no shingle of an item of their length are passed over; this loses nothing.
+windows that hold no shingle of an item of their length are passed over; this loses nothing. A document of
+fewer words than an item is compared with it as a whole, without fingerprints.
 
 Words are lower-cased runs of letters, digits and underscores. The benchmark is a list of bounded size,
 MAX_ITEM_BYTES at most, sent to all executors; a longer one is worked off in parts of that size.
@@ -104,6 +105,7 @@ class Index:
         self.long = [n for n in self.lengths if n >= SHINGLE]
         self.short = [n for n in self.lengths if n < SHINGLE]
         self.known = np.array(sorted(h for h, sizes in of_shingle.items() if max(sizes) >= SHINGLE), U)
+        self.longest = max(self.lengths, default=0)
         self.sizes = {h: sorted(s) for h, s in of_shingle.items()}
 
     def _starts(self, codes: np.ndarray) -> dict[int, np.ndarray]:
@@ -149,8 +151,23 @@ class Index:
                 pieces = self._prints(codes, part, n, low, high)
                 for start, print_ in zip(part.tolist(), pieces.tolist(), strict=True):
                     self._verify(words, codes, start, n, print_, best)
+        self._whole(words, codes, best)
         return sorted((self.ids[k], start, end, round(s, 6)) for k, (s, start, end) in best.items())
 
+    def _whole(self, words: list[str], codes: np.ndarray, best: dict) -> None:
+        """Compare a document with the items that have more words than it and a shingle in common."""
+        if len(codes) < SHINGLE or len(codes) >= self.longest:
+            return
+        grams = windows(codes, SHINGLE)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        held = {k for h in grams[self.known[at] == grams].tolist() for n in self.sizes[h] if n > len(codes) for k in self.lengths[n]}
+        if held:
+            own = weighted(words, codes)
+            for k in held:
+                s = similarity(own, self.weights[k])
+                if s >= THRESHOLD:
+                    best[k] = (s, 0, len(codes))
+
     @staticmethod
     def _prints(codes: np.ndarray, starts: np.ndarray, n: int, low: int, high: int) -> np.ndarray:
         if high - low <= 8 * (len(starts) + n):

@@ -289,6 +289,19 @@ def test_decontamination(spark, folder, docs):
     assert found[100] == {0} and found[101] == {2} and found[102] == {4} and not found[103] and found[104] == {0}
 
 
+def test_decontamination_of_documents_shorter_than_items():
+    items = [(k, " ".join(W[50 * k : 50 * k + n])) for k, n in enumerate((40, 40, 7, 4))]
+    index = decontaminate.Index(items)
+    goals = {k: decontaminate.weighted(t.split(), decontaminate.word_codes(t.split())) for k, t in items}
+    for k, t in items:
+        words = t.split()
+        for part in [words[:-1], words[1:], words[2:-2], words[: len(words) * 4 // 5], words[:3], words[:-3] + ["zzz"]]:
+            own = decontaminate.weighted(part, decontaminate.word_codes(part))
+            expected = {i for i, goal in goals.items() if decontaminate.similarity(own, goal) >= 0.75}
+            assert {m[0] for m in index.find(" ".join(part))} == expected
+    assert index.find(" ".join(items[0][1].split()[:-1]))[0][:3] == (0, 0, 39)
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 100)
     bench = spark.createDataFrame([(k, " ".join(W[9 * k : 9 * k + 9])) for k in range(5)], "item_id long, text string")
