@@ -36,8 +36,13 @@ DOTTED_LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NUMBER_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 GROUPED_DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ASSIGNED = re.compile(r"[\"']?[ \t]{0,2}[:=#]?[ \t]{0,2}[\"']?([A-Za-z0-9_-]{8,128})(?![A-Za-z0-9_-])")
-AUTHORITY = re.compile(r"(?:([^\s/?#@\"'<>]{1,256})@)?([A-Za-z0-9.-]+)(?::[0-9]{1,5})?")
+NAMED = r"(?=[\"' \t:=#])[\"']?(?:[ \t]{1,2}(?:number|no\.?|num\.?|nr\.?|id|code|key)(?![A-Za-z0-9_]))?[ \t]{0,2}"
+ASSIGNED = re.compile(NAMED + r"((?:[:=#]|is(?=[ \t]))?)[ \t]{0,2}[\"']?([A-Za-z0-9_-]{8,})", re.IGNORECASE)
+#: An IBAN in one run or in groups; its checksum tells where it ends.
+GROUPED_IBAN = re.compile(NAMED + r"(?:[:=#]|is(?=[ \t]))?[ \t]{0,2}[\"']?([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30})", re.IGNORECASE)
+#: Cues whose values need no digits, if a sign is set between: a password may be a word.
+SECRETS = ("token", "api_key", "apikey", "secret", "password", "passwd")
+AUTHORITY = re.compile(r"(?:([^\s/?#@\"'<>]++)@)?([A-Za-z0-9.-]+)(?::[0-9]{1,5})?")
 FOUR_NUMBERS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -52,7 +57,7 @@ def automaton() -> ahocorasick.Automaton:
         for b in DIGITS:
             words |= {f"{a}{b}": "digits", f"{a} {b}": "digits", f"{a}-{b}": "digits", f"{a}.{b}": "dotted"}
     for cue in CUES:
-        words |= {c: "cue" for c in (cue, cue.upper(), cue.capitalize())}
+        words[cue] = "cue"
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
@@ -67,6 +72,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(value: str) -> int:
+    """Where the longest valid IBAN that begins a run ends; 0 if none does."""
+    for end in range(len(value), 14, -1):
+        code = re.sub("[ -]", "", value[:end])
+        if len(code) >= 15 and not value[end : end + 1].isalnum() and value[end - 1].isalnum() and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return end
+    return 0
+
+
 class Parsers:
     """Local parsers of one text; `past` holds how far each kind has read."""
 
@@ -124,10 +138,17 @@ class Parsers:
         text = self.text
         if i < self.past["account"] or i and (text[i - 1].isalnum() or text[i - 1] == "_"):
             return
+        if text[i : i + size].lower() == "iban" and (value := GROUPED_IBAN.match(text, i + size)) and (end := iban_end(value[1])):
+            self.add("account", value.start(1), value.start(1) + end)
+            self.past["account"] = value.start(1) + end
+            return
         value = ASSIGNED.match(text, i + size)
-        if value and value.start(1) > i + size and sum(c in DIGITS for c in value[1]) >= 3:
-            self.add("account", value.start(1), value.end(1))
-            self.past["account"] = value.end(1)
+        if not value:
+            return
+        bare = value[1] in (":", "=") and text[i : i + size].lower() in SECRETS
+        if bare or sum(c in DIGITS for c in value[2]) >= 3:
+            self.add("account", value.start(2), value.end(2))
+            self.past["account"] = value.end(2)
 
     def scheme(self, i: int) -> None:
         text, start = self.text, i
@@ -141,12 +162,18 @@ class Parsers:
             self.past["address"] = host.end()
 
 
+def lowered(text: str) -> str:
+    """Lower case with the same offsets."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a whole text, by start, then kind."""
     if not text:
         return []
     parsers = Parsers(text)
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(lowered(text)):
         first = last - size + 1
         if kind == "cue":
             parsers.cue(first, size)

@@ -218,6 +218,16 @@ def test_pii_strings():
         assert [s for s in pii.find(text) if s[1] < 4] == brute.personal_data(text)
 
 
+def test_pii_accounts_are_whole():
+    long = "a1" * 200
+    for text, value in [(f"token = {long}", long), ("password = correcthorse", "correcthorse"), ("iban DE89 3704 0044 0532 0130 00 and more", "DE89 3704 0044 0532 0130 00"), ("account number: 12345678", "12345678"), ("Account No. 12345678", "12345678"), ("aPi_KeY: abc12345", "abc12345"), ("my iban is GB82WEST12345698765432.", "GB82WEST12345698765432"), ("İ ssn 123-45-6789", "123-45-6789")]:
+        assert [text[a:b] for a, k, b in pii.find(text) if pii.KINDS[k] == "account"] == [value], text
+    for text in ("password protection", "the secret is wonderful", "token-token-token1234", "account number theory"):
+        assert not pii.find(text)
+    url = f"http://{'u' * 300}@example.org"
+    assert (0, 5, len(url)) in pii.find(url)
+
+
 def fingerprints(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS _k", "doc_id", "text")
     split = {i: (t or "").split("\n") for i, t in rows}
