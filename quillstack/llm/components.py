@@ -1,14 +1,16 @@
 """Connected components and bucket-wise linking as DataFrame operations alone.
 
 Groups of thousands of similar rows never become all their pairs: a bucket's members are compared with
-one hub first, and only members that this leaves in different components are compared with each other.
+one hub first, and members that this leaves in different components only with those that share a rare token
+of theirs (a prefix filter, which misses no linked pair).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import Staged, attach, stage
@@ -50,39 +52,94 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """members (bucket, id); verify: pairs (a, b) -> those that are linked; sketches (id, sketch), and near:
-    two of their columns -> whether a pair may be linked. Returns (node, label).
+class Kind(Protocol):
+    """What link_buckets has to know of the things it links."""
 
-    Two ids end in one component exactly if a chain of verified pairs, each sharing a bucket, joins them:
-    first every member is compared with its bucket's hub, the id that meets most others over all its buckets
-    (of a family of near copies that is the original, which they resemble more than each other); then, in buckets that still hold several
-    components, members outside the largest one are compared with all members of other components. What
-    near() rules out never leaves the joins.
+    def near(self, a: str, b: str) -> Column:
+        """Whether two sketches leave it open that their owners are linked."""
+
+    def prepare(self, ids: DataFrame) -> None:
+        """ids (id): called once, before verify() and tokens(), with all ids that they can be asked for."""
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) -> those that are linked."""
+
+    def tokens(self, ids: DataFrame) -> DataFrame:
+        """ids (id) -> (id, n, size, token): the distinct tokens of each, and how many they are."""
+
+    def overlap(self, n: Column, size: Column) -> Column:
+        """How many tokens one of n tokens shares, at the least, with anything it is linked with."""
+
+    def shared(self, n: tuple[Column, Column], size: tuple[Column, Column]) -> Column:
+        """How many tokens a linked pair shares at the least."""
+
+
+@dataclass
+class Links:
+    """node, label of all ids that are linked with others, and how many pairs were compared on the way."""
+
+    labels: DataFrame
+    compared: int
+
+
+def link_buckets(members: DataFrame, sketches: DataFrame, kind: Kind) -> Links:
+    """members (bucket, id), each once; sketches (id, sketch). Two ids end in one component exactly if a chain
+    of linked pairs, each sharing a bucket, joins them.
+
+    First every member is compared with its bucket's hub, the id that meets most others over all its buckets
+    (of a family of near copies that is the original, which they resemble more than each other). Where other
+    members of a bucket are still in different components, these are compared through their rarest tokens:
+    a linked pair has so many tokens in common that it shares one among the first few of both in one order
+    from rare to frequent. A copy that is too far from all others has too many tokens of its own to meet them
+    there, so candidates follow the links and not the square of a group.
     """
     shared = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     held = stage(attach(members, shared, "bucket", ["n"], "inner").select("bucket", "id", "n"))
     central = held.groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = held.join(central, "id").groupBy("bucket").agg(F.max_by("id", "weight").alias("hub"))
-    multi = stage(held.join(hubs, "bucket").select("bucket", "id", "hub"))
+    multi = stage(held.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"))
+    kind.prepare(held.select("id").distinct())
     of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    pairs = multi.where("id <> hub").select("id", "hub").distinct()
-    star = pairs.join(sketches, "id").join(of_hub, "hub").where(near("sketch", "hub_sketch")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    first = stage(verify(star).select("a", "b"))
+    star = multi.select("id", "hub").distinct().join(sketches, "id").join(of_hub, "hub").where(kind.near("sketch", "hub_sketch"))
+    pairs = stage(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    compared = pairs.count()
+    first = stage(kind.verify(pairs).select("a", "b"))
     labels = stage(components(first))
-    known = labels.select(F.col("node").alias("id"), F.col("label"))
-    held = multi.where("id <> hub").select("bucket", "id").join(known, "id", "left").join(sketches, "id").select("bucket", "id", "sketch", F.coalesce("label", "id").alias("comp"))
-    ends = held.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    rest = stage(held.join(ends, "bucket"))
-    sizes = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max_by("comp", "n").alias("major"))
-    placed = rest.join(major, "bucket")
-    x = placed.where("comp <> major").select("bucket", F.col("id").alias("xi"), F.col("comp").alias("xc"), F.col("sketch").alias("xs"))
-    y = placed.select("bucket", F.col("id").alias("yi"), F.col("comp").alias("yc"), F.col("sketch").alias("ys"), "major")
-    other = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("major")) | (F.col("xi") < F.col("yi")))
-    cross = x.join(y, (x["bucket"] == y["bucket"]) & other & near("xs", "ys"))
-    second = stage(verify(cross.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()).select("a", "b"))
+    rest = stage(_unresolved(multi, labels))
+    if rest.isEmpty():
+        return Links(labels, compared)
+    pairs = stage(_by_rare_tokens(rest, kind))
+    compared += pairs.count()
+    second = stage(kind.verify(pairs).select("a", "b"))
     if second.isEmpty():
-        return labels
+        return Links(labels, compared)
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-    return stage(components(stars.union(second)))
+    return Links(stage(components(stars.union(second))), compared)
+
+
+def _unresolved(multi: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, comp, outer): members of buckets that hold, besides their hub, several components; outer: not in
+    the largest component of one of these buckets."""
+    known = labels.select(F.col("node").alias("id"), "label")
+    placed = multi.select("bucket", "id").join(known, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("comp"))
+    ends = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("comp", "n").alias("major")).where("kinds > 1")
+    return placed.join(ends.select("bucket", "major"), "bucket").groupBy("id").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("major")).alias("outer"))
+
+
+def _by_rare_tokens(rest: DataFrame, kind: Kind) -> DataFrame:
+    """rest (id, comp, outer) -> pairs (a, b) of different components, one of them outer, that may be linked."""
+    tokens = stage(kind.tokens(rest.select("id")))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = tokens.join(often, "token").join(rest, "id")
+    order = Window.partitionBy("id").orderBy("df", "token")
+    n, size = F.col("n"), F.col("size")
+    # tokens that nothing else has come first in the order, and join with nothing
+    ranked = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("place", n - F.col("known") + F.row_number().over(order))
+    prefix = stage(ranked.where(F.col("place") <= n - kind.overlap(n, size) + 1).select("token", "id", "comp", "outer", "n", "size", "place"))
+    x = prefix.where("outer").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "comp", "n", "size", "place")])
+    y = prefix.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "comp", "outer", "n", "size", "place")])
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1  # tokens from this one on
+    able = left >= kind.shared((F.col("x_n"), F.col("y_n")), (F.col("x_size"), F.col("y_size")))
+    once = ~F.col("y_outer") | (F.col("x_id") < F.col("y_id"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") != F.col("y_comp")) & once & able)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

@@ -7,8 +7,8 @@ sketches' XOR estimates how many minima differ, and so the similarity. Classes t
 candidates; those whose sketches rule out the threshold by a wide margin go; the rest are compared on their
 full sets. A pair of similarity 0.75 shares no band key with a probability of about 5 in a million.
 
-Large groups of near copies are linked through a hub of each bucket (see components), so no bucket is
-expanded into all its pairs. Everything is keyed by the shingle set, so document ids may repeat or be null.
+Large groups of near copies are linked through a hub of each bucket, and what the hubs leave open through the
+rarest shingles (see components), so no bucket is expanded into all its pairs. Everything is keyed by the shingle set, so document ids may repeat or be null.
 
 Cases: a text without words, or null, has no shingles, is linked with nothing and is its own component;
 fewer than five words form one shingle; equal texts are one class and so always linked; of a component the
@@ -34,7 +34,7 @@ SAMPLES, BANDS, ROWS = 128, 32, 4
 SKETCH_BITS = 256
 #: Similarity of at least PARTS in WHOLE.
 PARTS, WHOLE = 75, 100
-#: An odd sketch's estimate is trusted to be off by less than this.
+#: An odd sketch's estimate is trusted to be off by less than this: at similarity 0.75 it is 6 deviations.
 SLACK = 0.3
 #: Shingles that are hashed at a time, by all samples.
 PIECE = 256
@@ -103,28 +103,19 @@ def features():
 
 
 def full_sets():
-    """text (binary) -> struct<set_key, shingles: sorted 64-bit hashes as binary>."""
+    """text (binary) -> struct<set_key, shingles: sorted 64-bit hashes>."""
 
-    @arrow_udf("struct<set_key:bigint,shingles:binary>")
+    @arrow_udf("struct<set_key:bigint,shingles:array<bigint>>")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["set_key", "shingles"])
 
     return extract
 
 
-def common_shingles():
-    """Two sets as binary -> the size of their intersection."""
-
-    @arrow_udf("bigint")
-    def common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array([len(np.intersect1d(np.frombuffer(a, U), np.frombuffer(b, U), assume_unique=True)) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
-
-    return common
-
-
 def _similar_sketches(a: str, b: str) -> Column:
     """Whether sizes and odd sketches leave the threshold open."""
     differing = F.aggregate(F.zip_with(f"{a}.odd", f"{b}.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -134,29 +125,49 @@ def _similar_sketches(a: str, b: str) -> Column:
     return (F.least(*sizes) * WHOLE >= F.greatest(*sizes) * PARTS) & (estimate >= PARTS / WHOLE - SLACK)
 
 
+class _Sets:
+    """Shingle sets as link_buckets sees them; ids are set keys."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, classes: DataFrame):
+        self.docs, self.doc_id, self.text, self.classes = docs, doc_id, text, classes
+
+    def near(self, a: str, b: str) -> Column:
+        return _similar_sketches(a, b)
+
+    def prepare(self, ids: DataFrame) -> None:
+        wanted = stage(self.classes.select("set_key", "place").join(ids.withColumnRenamed("id", "set_key"), "set_key"))
+        texts = stage(attach(self.docs.select(row_key(f"`{self.doc_id}`", f"`{self.text}`").alias("place"), F.col(f"`{self.text}`").cast("binary").alias("data")), stage(wanted.select("place").distinct()), "place", [], "left_semi"))
+        sets = texts.select(full_sets()(F.col("data")).alias("s")).select("s.*")
+        self.sets = stage(sets.dropDuplicates(["set_key"]).withColumnRenamed("set_key", "id"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        both = pairs
+        for end, name in (("a", "x"), ("b", "y")):
+            both = both.join(self.sets.select(F.col("id").alias(end), F.col("shingles").alias(name)), end)
+        counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("size"))
+        return counted.where(F.col("common") * WHOLE >= (F.col("size") - F.col("common")) * PARTS)
+
+    def tokens(self, ids: DataFrame) -> DataFrame:
+        n = F.size("shingles")
+        return self.sets.join(ids, "id").select("id", n.alias("n"), n.alias("size"), F.explode("shingles").alias("token"))
+
+    def overlap(self, n: Column, size: Column) -> Column:
+        return F.ceil(n * PARTS / WHOLE)
+
+    def shared(self, n: tuple[Column, Column], size: tuple[Column, Column]) -> Column:
+        return F.ceil((n[0] + n[1]) * PARTS / (PARTS + WHOLE))
+
+
 def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Returns (rows, classes): rows (_k, doc_id, n, set_key), one for each document; classes (set_key,
     component_id, group), one for each shingle set, with the least id and the least set of its component."""
-    data = F.col(text).cast("binary")
-    rows = stage(docs.select(row_key(doc_id, text).alias("_k"), F.col(doc_id).alias("doc_id"), features()(data).alias("f")).select("_k", "doc_id", "f.*"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = stage(docs.select(row_key("doc_id", "text").alias("_k"), "doc_id", features()(F.col("text").cast("binary")).alias("f")).select("_k", "doc_id", "f.*"))
     filled = rows.where("n > 0")
-    classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("_k").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
     sketches = classes.select(F.col("set_key").alias("id"), F.struct("n", F.col("sketch").alias("odd")).alias("sketch"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        found = stage(pairs)
-        ends = found.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        wanted = stage(classes.select("set_key", "least").join(ends, "set_key").select("set_key", F.xxhash64("least").alias("_d")))
-        texts = attach(docs.select(F.xxhash64(F.col(doc_id)).alias("_d"), data.alias("data")), stage(wanted.select("_d").distinct()), "_d", [], "left_semi")
-        sets = texts.select(full_sets()(F.col("data")).alias("s")).select("s.*")
-        sets = stage(sets.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
-        both = found.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y")), "b")
-        counted = both.withColumn("common", common_shingles()(F.col("x"), F.col("y")))
-        size = (F.length("x") + F.length("y")) / 8
-        return counted.where(F.col("common") * WHOLE >= (size - F.col("common")) * PARTS).select("a", "b")
-
-    labels = link_buckets(members, verify, sketches, _similar_sketches)
+    labels = link_buckets(members, sketches, _Sets(docs, "doc_id", "text", classes)).labels
     labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")))
@@ -173,7 +184,7 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that are near duplicates of one that stays: of each component the one of
     the least id, then row key. Texts without words all stay; rows of one id and one text are one document."""
-    rows, classes = find_near_duplicates(docs.select(doc_id, text), doc_id, text)
+    rows, classes = find_near_duplicates(docs, doc_id, text)
     placed = rows.where("n > 0").join(classes, "set_key").select("_k", "doc_id", "set_key", "group")
     first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k"))["_k"].alias("first"))
     gone = stage(placed.join(first, "group").where("_k <> first").select("_k").distinct())
