@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Staged, attach, stage
+from quillstack.llm.common import Staged, stage
 
 MAX_ROUNDS = 60
 
@@ -55,11 +55,14 @@ def components(edges: DataFrame) -> DataFrame:
 class Kind(Protocol):
     """What link_buckets has to know of the things it links."""
 
+    #: (id, sketch) of all ids that prepare() was called with.
+    sketches: DataFrame
+
     def near(self, a: str, b: str) -> Column:
         """Whether two sketches leave it open that their owners are linked."""
 
     def prepare(self, ids: DataFrame) -> None:
-        """ids (id): called once, before verify() and tokens(), with all ids that they can be asked for."""
+        """ids (id): called once, before all else, with all ids that can be asked for."""
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> those that are linked."""
@@ -67,8 +70,8 @@ class Kind(Protocol):
     def tokens(self, ids: DataFrame) -> DataFrame:
         """ids (id) -> (id, n, size, token): the distinct tokens of each, and how many they are."""
 
-    def overlap(self, n: Column, size: Column) -> Column:
-        """How many tokens one of n tokens shares, at the least, with anything it is linked with."""
+    def prefix(self, n: Column, known: Column, size: Column) -> Column:
+        """Of n tokens, `known` of them in others too: so many of the rarest of these a linked pair meets in."""
 
     def shared(self, n: tuple[Column, Column], size: tuple[Column, Column]) -> Column:
         """How many tokens a linked pair shares at the least."""
@@ -82,8 +85,8 @@ class Links:
     compared: int
 
 
-def link_buckets(members: DataFrame, sketches: DataFrame, kind: Kind) -> Links:
-    """members (bucket, id), each once; sketches (id, sketch). Two ids end in one component exactly if a chain
+def link_buckets(members: DataFrame, kind: Kind) -> Links:
+    """members (bucket, id), each once. Two ids end in one component exactly if a chain
     of linked pairs, each sharing a bucket, joins them.
 
     First every member is compared with its bucket's hub, the id that meets most others over all its buckets
@@ -93,12 +96,15 @@ def link_buckets(members: DataFrame, sketches: DataFrame, kind: Kind) -> Links:
     from rare to frequent. A copy that is too far from all others has too many tokens of its own to meet them
     there, so candidates follow the links and not the square of a group.
     """
-    shared = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    held = stage(attach(members, shared, "bucket", ["n"], "inner").select("bucket", "id", "n"))
-    central = held.groupBy("id").agg(F.sum("n").alias("weight"))
+    by = Window.partitionBy("bucket").orderBy("id")
+    around = members.select("bucket", "id", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
+    held = stage(around.where("before is not null or after is not null").select("bucket", "id"))
+    often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    central = held.join(often, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
     hubs = held.join(central, "id").groupBy("bucket").agg(F.max_by("id", "weight").alias("hub"))
     multi = stage(held.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"))
     kind.prepare(held.select("id").distinct())
+    sketches = kind.sketches
     of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
     star = multi.select("id", "hub").distinct().join(sketches, "id").join(of_hub, "hub").where(kind.near("sketch", "hub_sketch"))
     pairs = stage(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
@@ -134,12 +140,13 @@ def _by_rare_tokens(rest: DataFrame, kind: Kind) -> DataFrame:
     order = Window.partitionBy("id").orderBy("df", "token")
     n, size = F.col("n"), F.col("size")
     # tokens that nothing else has come first in the order, and join with nothing
-    ranked = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("place", n - F.col("known") + F.row_number().over(order))
-    prefix = stage(ranked.where(F.col("place") <= n - kind.overlap(n, size) + 1).select("token", "id", "comp", "outer", "n", "size", "place"))
-    x = prefix.where("outer").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "comp", "n", "size", "place")])
-    y = prefix.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "comp", "outer", "n", "size", "place")])
+    ranked = known.withColumn("known", F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("rank", F.row_number().over(order))
+    placed = ranked.withColumn("place", n - F.col("known") + F.col("rank"))
+    prefix = stage(placed.where(F.col("rank") <= kind.prefix(n, F.col("known"), size)).join(kind.sketches, "id").select("token", "id", "comp", "outer", "n", "size", "place", "sketch"))
+    x = prefix.where("outer").select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "comp", "n", "size", "place", "sketch")])
+    y = prefix.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "comp", "outer", "n", "size", "place", "sketch")])
     left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1  # tokens from this one on
     able = left >= kind.shared((F.col("x_n"), F.col("y_n")), (F.col("x_size"), F.col("y_size")))
     once = ~F.col("y_outer") | (F.col("x_id") < F.col("y_id"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") != F.col("y_comp")) & once & able)
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_comp") != F.col("y_comp")) & once & able & kind.near("x_sketch", "y_sketch"))
     return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

@@ -139,6 +139,7 @@ class _Sets:
         texts = stage(attach(self.docs.select(row_key(f"`{self.doc_id}`", f"`{self.text}`").alias("place"), F.col(f"`{self.text}`").cast("binary").alias("data")), stage(wanted.select("place").distinct()), "place", [], "left_semi"))
         sets = texts.select(full_sets()(F.col("data")).alias("s")).select("s.*")
         self.sets = stage(sets.dropDuplicates(["set_key"]).withColumnRenamed("set_key", "id"))
+        self.sketches = self.classes.select(F.col("set_key").alias("id"), F.struct("n", F.col("sketch").alias("odd")).alias("sketch"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         both = pairs
@@ -151,8 +152,9 @@ class _Sets:
         n = F.size("shingles")
         return self.sets.join(ids, "id").select("id", n.alias("n"), n.alias("size"), F.explode("shingles").alias("token"))
 
-    def overlap(self, n: Column, size: Column) -> Column:
-        return F.ceil(n * PARTS / WHOLE)
+    def prefix(self, n: Column, known: Column, size: Column) -> Column:
+        """Of n shingles, ceil(0.75 n) are shared with whatever a set is linked with."""
+        return known - F.ceil(n * PARTS / WHOLE) + 1
 
     def shared(self, n: tuple[Column, Column], size: tuple[Column, Column]) -> Column:
         return F.ceil((n[0] + n[1]) * PARTS / (PARTS + WHOLE))
@@ -166,8 +168,7 @@ def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     filled = rows.where("n > 0")
     classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("_k").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
-    sketches = classes.select(F.col("set_key").alias("id"), F.struct("n", F.col("sketch").alias("odd")).alias("sketch"))
-    labels = link_buckets(members, sketches, _Sets(docs, "doc_id", "text", classes)).labels
+    labels = link_buckets(members, _Sets(docs, "doc_id", "text", classes)).labels
     labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")))
