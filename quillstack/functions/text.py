@@ -22,7 +22,7 @@ MARKED_RUN = r"\[[^\]]+\?\]"
 UNCERTAIN = r"\[([^\]]+)\?\]"
 LINE_NUMBER = rf"^{WHITE}*(?:\d+[.):]{WHITE}*)?"
 HEBREW, HEBREW_LETTER, LATIN = r"[\u0590-\u05FF]", r"[\u05D0-\u05EA\uFB1D-\uFB4E]", "[a-zA-Z]"
-LEADING = r"^([!?.،؟]+)(.*)$"
+LEADING = r"(?s)^([!?.،؟]+)(.*)$"
 
 
 def strip(c: Column) -> Column:

@@ -15,11 +15,6 @@ from quillstack.operators.numbering import number_rows
 KINDS = ("confirm", "fix", "sic")
 TARGET_WORDS = 10_000
 
-PAGES = "id long, source_path string, image_path string, writer string, n_lines int, created_at timestamp"
-LINES = "id long, page_id long, idx int, box struct<x0:int,y0:int,x1:int,y1:int>, image_path string, context_image_path string"
-PREDICTIONS = "id long, line_id long, text string, model string, created_at timestamp"
-CORRECTIONS = "id long, line_id long, text string, kind string, note string, created_at timestamp"
-
 
 def latest_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("line_id").agg(F.max_by("text", "id").alias("prediction"))
@@ -104,10 +99,15 @@ def page_line_counts(pages: DataFrame, lines: DataFrame) -> DataFrame:
     return pages.join(counts, "id", "left").withColumn("n_lines", F.coalesce("n", "n_lines")).drop("n")
 
 
+def padded(number: Column, digits: int) -> Column:
+    """A number with leading zeros; one of more digits keeps them all."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
+
+
 def asset_paths(lines: DataFrame) -> DataFrame:
     """Where images of pages, lines and contexts lie."""
-    page = F.lpad(F.col("page_id").cast("string"), 5, "0")
-    line = F.lpad(F.col("idx").cast("string"), 3, "0")
+    page, line = padded(F.col("page_id"), 5), padded(F.col("idx"), 3)
     name = F.concat(F.lit("p"), page, F.lit("_l"), line)
     return lines.withColumns({"page_path": F.concat(F.lit("page"), page, F.lit(".png")), "line_path": F.concat(name, F.lit(".png")), "context_path": F.concat(name, F.lit("_ctx.png"))})
 
@@ -121,6 +121,5 @@ def training_rows(lines: DataFrame, corrections: DataFrame, images: DataFrame) -
     joined = corrections.select("line_id", "text").join(lines.select(F.col("id").alias("line_id"), "page_id", "idx", "image_path"), "line_id")
     numbered = number_rows(joined, "page_id", "idx", "line_id")
     present = numbered.join(images.select("image_path"), "image_path", "left_semi")
-    digits = F.greatest(F.lit(5), F.length(F.col("number").cast("string")))
-    name = F.concat(F.lpad(F.col("number").cast("string"), digits, "0"), F.lit(".png"))
+    name = F.concat(padded(F.col("number"), 5), F.lit(".png"))
     return present.select("number", "line_id", name.alias("file"), T.export_label(F.col("text")).alias("label"), F.size(T.words(F.col("text"))).alias("words"))

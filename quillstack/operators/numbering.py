@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """A checkpoint in the folder the cluster names; a temporary one only where there are no other machines."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark._jsc.sc().getCheckpointDir().isEmpty():
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstack-"))
     return df.checkpoint()
 

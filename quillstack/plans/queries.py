@@ -170,8 +170,8 @@ def _export(spark, sf_dir):
     return rows.withColumn("words", F.col("words").cast("long"))
 
 
-@query("""SELECT id AS line_id, 'page' || lpad(CAST(page_id AS VARCHAR), 5, '0') || '.png' AS page_path, 'p' || lpad(CAST(page_id AS VARCHAR), 5, '0') || '_l' || lpad(CAST(idx AS VARCHAR), 3, '0') || '.png' AS line_path,
-  'p' || lpad(CAST(page_id AS VARCHAR), 5, '0') || '_l' || lpad(CAST(idx AS VARCHAR), 3, '0') || '_ctx.png' AS context_path, CASE WHEN coalesce(context_image_path, '') = '' THEN image_path ELSE context_image_path END AS shown_path FROM lines""")
+@query("""SELECT id AS line_id, 'page' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(5, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '.png' AS page_path, 'p' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(5, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '_l' || lpad(CAST(idx AS VARCHAR), CAST(greatest(3, length(CAST(idx AS VARCHAR))) AS INTEGER), '0') || '.png' AS line_path,
+  'p' || lpad(CAST(page_id AS VARCHAR), CAST(greatest(5, length(CAST(page_id AS VARCHAR))) AS INTEGER), '0') || '_l' || lpad(CAST(idx AS VARCHAR), CAST(greatest(3, length(CAST(idx AS VARCHAR))) AS INTEGER), '0') || '_ctx.png' AS context_path, CASE WHEN coalesce(context_image_path, '') = '' THEN image_path ELSE context_image_path END AS shown_path FROM lines""")
 def asset_paths(spark, sf_dir):
     return C.image_shown(C.asset_paths(S.lines(spark, sf_dir))).select(F.col("id").alias("line_id"), "page_path", "line_path", "context_path", "shown_path")
 
@@ -244,6 +244,33 @@ def eval_summary(spark, sf_dir):
     return scored.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("cer"), 9).alias("mean_cer"), F.count_if(M.verdict(F.col("cer")) == M.WORST).alias("failures"))
 
 
+WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+#: The table of edit distances row by row: what stands above and to the upper left first, then what stands to the left.
+WER = rf"""SELECT conv_id, turn, c / greatest(len(b), 1) AS wer, greatest(len(b), 1) AS ref_words, len(a) AS hyp_words, uncertain_marked FROM (
+  WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, turn, {WORDS.format(r"regexp_replace(hypothesis, '\[([^\]\[]+?)\?\]', '\1', 'g')")} AS a, {WORDS.format("reference")} AS b,
+    CAST(len(regexp_extract_all(hypothesis, '\[([^\]\[]+?)\?\]')) AS BIGINT) AS uncertain_marked FROM turns),
+  d(conv_id, turn, i, j, c) AS (SELECT conv_id, turn, CAST(0 AS BIGINT), j, j FROM (SELECT conv_id, turn, unnest(range(0, len(b) + 1)) AS j FROM t)
+    UNION ALL SELECT conv_id, turn, i, j, j + min(x - j) OVER (PARTITION BY conv_id, turn ORDER BY j) FROM (
+      SELECT d.conv_id, d.turn, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.i + 1
+        ELSE least(d.c + 1, lag(d.c) OVER (PARTITION BY d.conv_id, d.turn ORDER BY d.j) + CASE WHEN t.a[d.i + 1] = t.b[d.j] THEN 0 ELSE 1 END) END AS x
+      FROM d JOIN t ON t.conv_id = d.conv_id AND t.turn = d.turn WHERE d.i < len(t.a)))
+  SELECT t.*, d.c FROM d JOIN t ON t.conv_id = d.conv_id AND t.turn = d.turn AND d.i = len(t.a) AND d.j = len(t.b))"""
+
+
+@query(WER)
+def wer(spark, sf_dir):
+    """Word error rates of turns, normalised in full."""
+    s = M.score_pairs(S.turn_pairs(spark, sf_dir))
+    return s.select("conv_id", "turn", "wer", *[F.col(c).cast("long").alias(c) for c in ("ref_words", "hyp_words", "uncertain_marked")])
+
+
+@query(f"SELECT count(*) AS pairs, round(avg(wer), 9) AS mean_wer, CAST(sum(uncertain_marked) AS BIGINT) AS uncertain_marked FROM ({WER})")
+def eval_words(spark, sf_dir):
+    """The macro mean of word error rates."""
+    s = M.score_pairs(S.turn_pairs(spark, sf_dir))
+    return s.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("wer"), 9).alias("mean_wer"), F.sum(F.col("uncertain_marked").cast("long")).alias("uncertain_marked"))
+
+
 @query(r"SELECT doc_id, regexp_replace(translate(text, ',.;:!?—', ''), '\s+', '', 'g') AS skeleton FROM documents")
 def skeleton(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").select("doc_id", T.skeleton(F.col("text")).alias("skeleton"))

@@ -73,6 +73,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(b.select("item_id", F.col("text").alias("reference")), "item_id")
 
 
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation, with some words marked, against the turn before it."""
+    t = read(spark, sf_dir, "conversations")
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    return t.select("conv_id", "turn", marked("text").alias("hypothesis")).join(before, ["conv_id", "turn"])
+
+
 #: The same relations as common table expressions.
 SQL = r"""
 lines AS (SELECT doc_id AS id, CAST(nullif(regexp_extract(source, '[0-9]+'), '') AS BIGINT) AS page_id, doc_id AS idx, 'lines/' || doc_id || '.png' AS image_path,
@@ -85,5 +92,6 @@ marked AS (SELECT doc_id, lang, regexp_replace(text, ' (the|de|la|und|que) ', '
 results AS (SELECT d.doc_id AS page_number, d.text, d.lang <> 'es' AS success, length(d.text) > 20000 AS truncated, len(regexp_extract_all(m.text, '\[([^\]]+)\?\]')) AS n_uncertain,
   length(d.text) % 977 AS api_call_ms, length(d.text) AS input_tokens, length(d.text) // 4 AS output_tokens, length(d.text) % 7 AS thinking_tokens FROM documents d JOIN marked m USING (doc_id)),
 pairs AS (SELECT d.doc_id, b.item_id, regexp_replace(d.text, '[^\x00-\x7F]', '?', 'g') AS hypothesis, regexp_replace(b.text, '[^\x00-\x7F]', '?', 'g') AS reference
-  FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
+  FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
+turns AS (SELECT a.conv_id, a.turn, regexp_replace(a.text, ' (the|de|la|und|que) ', ' [\1?] ', 'g') AS hypothesis, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
 """

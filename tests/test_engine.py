@@ -35,13 +35,45 @@ def test_texts_and_pairs(spark, tmp_path):
     assert [r["stem"] for r in pairs.collect()] == ["a"]
 
 
-def test_bands_of_a_regular_page(spark):
-    y = np.arange(600)
-    profile = np.where((y % 60 >= 20) & (y % 60 < 40), 50.0, 0.0)
-    rows = segment.segment_pages(spark.createDataFrame([(1, profile.tolist()), (2, [0.0] * 10), (3, None)], "page_id long, profile array<double>")).collect()
-    assert len(rows) == 10 and {r["page_id"] for r in rows} == {1}
-    middles = [(r["y0"] + r["y1"]) / 2 for r in sorted(rows, key=lambda r: r["idx"])]
-    assert all(abs(m - (30 + 60 * i)) < 16 for i, m in enumerate(middles))
+def page_of_ink(lines, pitch, height, left, right, width):
+    """Lines of ink in the middle third of each pitch."""
+    ink = np.zeros((height, width), np.uint8)
+    for k in range(lines):
+        ink[k * pitch + pitch // 3 : k * pitch + 2 * pitch // 3, left:right] = 1
+    return ink
+
+
+def test_boxes_of_a_regular_page(spark):
+    ink = page_of_ink(10, 60, 600, 40, 240, 300)
+    pages = spark.createDataFrame([(1, ink.tobytes(), 300), (2, bytes(5000), 50), (3, None, 10), (4, b"\x01" * 7, 2), (5, b"", 3)], "page_id long, ink binary, width int")
+    rows = sorted(segment.segment_pages(pages).collect(), key=lambda r: r["idx"])
+    assert [r["idx"] for r in rows] == list(range(1, 11)) and {r["page_id"] for r in rows} == {1}
+    # margins: 15 columns left of the first ink and right of the last, a fifth of a pitch above and below
+    assert {(r["x0"], r["x1"]) for r in rows} == {(25, 254)}
+    assert all(r["y0"] <= 60 * k + 20 and r["y1"] >= 60 * k + 40 for k, r in enumerate(rows))
+    assert rows[0]["y0"] == 0 and rows[-1]["y1"] == 600 and all(r["y1"] - r["y0"] <= 86 for r in rows)
+    # a cut is the first place of least ink: right behind a line, so the margin above reaches into it
+    assert all(b["y0"] < a["y1"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_little_ink_is_no_page():
+    ink = np.zeros((200, 50), np.uint8)
+    ink[100, :50] = ink[101, :49] = 1
+    assert segment.boxes(ink) == []
+    ink[101, 49] = 1
+    assert len(segment.boxes(ink)) >= 1
+
+
+def test_pitch_is_at_least_the_least_lag():
+    profile = np.tile([9.0, 0, 0, 0], 30)
+    assert segment.pitch(profile) in (8, 12, 16, 20)
+    assert segment.kernel(9).sum() == 1.0 or abs(segment.kernel(9).sum() - 1) < 1e-12
+
+
+def test_strong_line_takes_its_surroundings():
+    profile = np.zeros(50)
+    profile[[10, 13, 30, 45]] = [9, 8, 5, 1.7]
+    assert segment.peaks(profile, 5).tolist() == [10, 30]
 
 
 def test_failures_are_rows(spark):

@@ -92,6 +92,37 @@ def test_word_distance(spark, pairs):
     assert all(r["d"] == r["f"] == distance(r["a"], r["b"]) for r in rows)
 
 
+def test_word_distance_of_long_texts(spark):
+    """Thousands of words a side, most of them different."""
+    a, b = [f"w{i}" for i in range(4000)], [f"w{i}" for i in range(0, 8000, 2)]
+    df = spark.createDataFrame([(a, b), (a, a[1:]), (a, [])], "a array<string>, b array<string>")
+    assert [r["d"] for r in df.select(M.word_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [distance(a, b), 1, 4000]
+
+
+def test_words_beyond_the_first_plane(spark):
+    n = M.SYMBOLS + 50
+    df = spark.range(1).selectExpr(f"transform(sequence(1, {n}), i -> string(i)) AS a", f"transform(sequence(2, {n + 1}), i -> string(i)) AS b").selectExpr("slice(a, -60, 60) AS x", "a", "b")
+    symbols = df.select(F.size("a").alias("n"), M.word_distance(F.col("x"), F.col("x")).alias("same")).first()
+    assert (symbols["n"], symbols["same"]) == (n, 0)
+
+
+def test_paths_keep_all_digits(spark):
+    lines = spark.createDataFrame([(123456, 1234), (1, 2)], "page_id long, idx int")
+    rows = C.asset_paths(lines).collect()
+    assert [(r["page_path"], r["line_path"], r["context_path"]) for r in rows] == [("page123456.png", "p123456_l1234.png", "p123456_l1234_ctx.png"), ("page00001.png", "p00001_l002.png", "p00001_l002_ctx.png")]
+
+
+def test_leading_marks_before_odd_line_ends(spark):
+    row = spark.createDataFrame([("!a\u2028b",)], "t string").select(T.move_leading_marks(F.col("t")).alias("t")).first()
+    assert row["t"].startswith("a")
+
+
+def test_composition_of_all_code_points(spark):
+    texts = ["".join(chr(c) for c in range(k, k + 0x100) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 0x100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfkc(F.col("t")).alias("n")).collect()
+    assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in rows)
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(max_size=20), min_size=20, max_size=40))
 def test_composition_and_skeleton(spark, texts):
