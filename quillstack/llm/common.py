@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. A temporary one only if there are no other machines (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quillstack-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillstack-")
+        named = _own_dirs[app]
     return named.rstrip("/")
 
 
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it of a folder that Spark names by URI or by path."""
+    if "://" in uri or uri.startswith("file:"):
+        return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    return fs.LocalFileSystem(), uri
+
+
 class Staged:
     """A table written once to the shared folder, so that what follows survives lost executors."""
 
@@ -45,8 +64,27 @@ class Staged:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    return Staged(df).df
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those that are to be kept."""
+    held = _scopes.__dict__.setdefault("held", [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for table in held.pop():
+            table.drop()
+
+
+def stage(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df written and read again; keep: it outlives the innermost scratch()."""
+    made, held = Staged(df), _scopes.__dict__.get("held", [])
+    if len(held) > keep:
+        held[-1 - keep].append(made)
+    return made.df
 
 
 def arrow_udf(kind: str):
@@ -65,6 +103,20 @@ def row_key(*cols: str | Column) -> Column:
     return F.xxhash64(*cols)
 
 
+#: The greatest number that draw() gives.
+LAST_DRAW = (1 << 63) - 1
+
+
+def draw(*cols: str | Column) -> Column:
+    """A number of 63 bits by a hash of columns. Rows with at most bound(share) are a sample of about this share."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit(LAST_DRAW))
+
+
+def bound(share: float) -> int:
+    """No share is too small for it."""
+    return min(LAST_DRAW, int(share * (1 << 63)))
+
+
 def attach(left: DataFrame, small: DataFrame, key: str, payload: list[str], how: str = "left") -> DataFrame:
     """Join a staged table of one row a key. It is broadcast if its measured bytes are under
     BROADCAST_BYTES; otherwise both sides are shuffled. Either way the rows are the same."""

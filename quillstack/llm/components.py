@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Staged, stage
+from quillstack.llm.common import Staged, scratch, stage
 
 MAX_ROUNDS = 60
 
@@ -96,31 +96,32 @@ def link_buckets(members: DataFrame, kind: Kind) -> Links:
     from rare to frequent. A copy that is too far from all others has too many tokens of its own to meet them
     there, so candidates follow the links and not the square of a group.
     """
-    by = Window.partitionBy("bucket").orderBy("id")
-    around = members.select("bucket", "id", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
-    held = stage(around.where("before is not null or after is not null").select("bucket", "id"))
-    often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    central = held.join(often, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
-    hubs = held.join(central, "id").groupBy("bucket").agg(F.max_by("id", "weight").alias("hub"))
-    multi = stage(held.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"))
-    kind.prepare(held.select("id").distinct())
-    sketches = kind.sketches
-    of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
-    star = multi.select("id", "hub").distinct().join(sketches, "id").join(of_hub, "hub").where(kind.near("sketch", "hub_sketch"))
-    pairs = stage(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    compared = pairs.count()
-    first = stage(kind.verify(pairs).select("a", "b"))
-    labels = stage(components(first))
-    rest = stage(_unresolved(multi, labels))
-    if rest.isEmpty():
-        return Links(labels, compared)
-    pairs = stage(_by_rare_tokens(rest, kind))
-    compared += pairs.count()
-    second = stage(kind.verify(pairs).select("a", "b"))
-    if second.isEmpty():
-        return Links(labels, compared)
-    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-    return Links(stage(components(stars.union(second))), compared)
+    with scratch():
+        by = Window.partitionBy("bucket").orderBy("id")
+        around = members.select("bucket", "id", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
+        held = stage(around.where("before is not null or after is not null").select("bucket", "id"))
+        often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        central = held.join(often, "bucket").groupBy("id").agg(F.sum("n").alias("weight"))
+        hubs = held.join(central, "id").groupBy("bucket").agg(F.max_by("id", "weight").alias("hub"))
+        multi = stage(held.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"))
+        kind.prepare(held.select("id").distinct())
+        sketches = kind.sketches
+        of_hub = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch"))
+        star = multi.select("id", "hub").distinct().join(sketches, "id").join(of_hub, "hub").where(kind.near("sketch", "hub_sketch"))
+        pairs = stage(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        compared = pairs.count()
+        first = stage(kind.verify(pairs).select("a", "b"))
+        labels = stage(components(first), keep=True)
+        rest = stage(_unresolved(multi, labels))
+        if rest.isEmpty():
+            return Links(labels, compared)
+        pairs = stage(_by_rare_tokens(rest, kind))
+        compared += pairs.count()
+        second = stage(kind.verify(pairs).select("a", "b"))
+        if second.isEmpty():
+            return Links(labels, compared)
+        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+        return Links(stage(components(stars.union(second)), keep=True), compared)
 
 
 def _unresolved(multi: DataFrame, labels: DataFrame) -> DataFrame:

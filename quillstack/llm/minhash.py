@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_udf, attach, row_key, stage, table
+from quillstack.llm.common import arrow_udf, attach, row_key, scratch, stage, table
 from quillstack.llm.components import link_buckets
 from quillstack.llm.hashing import U, mix, sequence_hash, windows, word_hashes
 
@@ -163,15 +163,16 @@ class _Sets:
 def find_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Returns (rows, classes): rows (_k, doc_id, n, set_key), one for each document; classes (set_key,
     component_id, group), one for each shingle set, with the least id and the least set of its component."""
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = stage(docs.select(row_key("doc_id", "text").alias("_k"), "doc_id", features()(F.col("text").cast("binary")).alias("f")).select("_k", "doc_id", "f.*"))
-    filled = rows.where("n > 0")
-    classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("_k").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
-    labels = link_buckets(members, _Sets(docs, "doc_id", "text", classes)).labels
-    labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")))
+    with scratch():
+        docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        rows = stage(docs.select(row_key("doc_id", "text").alias("_k"), "doc_id", features()(F.col("text").cast("binary")).alias("f")).select("_k", "doc_id", "f.*"), keep=True)
+        filled = rows.where("n > 0")
+        classes = stage(filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min("_k").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+        members = classes.select(F.explode("bands").alias("bucket"), F.col("set_key").alias("id"))
+        labels = link_buckets(members, _Sets(docs, "doc_id", "text", classes)).labels
+        labelled = classes.select("set_key", "least").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+        least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+        return rows.select("_k", "doc_id", "n", "set_key"), stage(labelled.join(least, "label").select("set_key", "component_id", F.col("label").alias("group")), keep=True)
 
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
