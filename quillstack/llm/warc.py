@@ -10,7 +10,8 @@ length, block digest) the reader looks for the next valid member or version line
 reports the bytes in between as a quarantined gap. It works off files of any size from front to back.
 
 Cases: null html is an empty payload; null ids come last and refer to nothing by name; of rows that repeat
-in full one is the response; null urls leave the target out; empty tables give no archives and no rows.
+in full one is the response; null urls leave the target out; empty tables give no archives and no rows. Columns besides
+page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -31,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import attach, shared_dir, small_batches, stage, table
+from quillstack.llm.common import attach, located, shared_dir, small_batches, stage, table
 
+log = logging.getLogger(__name__)
 #: Payloads of fewer bytes are never made revisits.
 MIN_REVISIT_BYTES = 0
 LAST_ID = (1 << 63) - 1
@@ -51,13 +54,6 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def located(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it of a folder that Spark names by URI or by path."""
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    return fs.LocalFileSystem(), uri
-
-
 def record(page: str, serial: int, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One record as a gzip member; refers_to: the response's id, for revisits."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -264,6 +260,16 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
     return archives.select("path").mapInArrow(read, schema)
 
 
+def quarantined(records: DataFrame, folder: str) -> DataFrame:
+    """The gaps among records that were read. Where there are any, they are also written to a table in the
+    folder, and logged."""
+    gaps = records.where("problem is not null").select("path", "start", "end", "problem")
+    if n := gaps.count():
+        gaps.write.mode("append").parquet(f"{folder}/gaps")
+        log.warning("%d gaps in the archives of %s, listed in %s/gaps", n, folder, folder)
+    return gaps
+
+
 def page_records(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of what was read."""
     page: Callable = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*):\d+>$", 1)
@@ -275,4 +281,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archives = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     n = max(1, archives.count())
-    return page_records(read_archives(archives.repartition(n, "path"), folder))
+    records = stage(read_archives(archives.repartition(n, "path"), folder))
+    quarantined(records, folder)
+    return page_records(records)
