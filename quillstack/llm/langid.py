@@ -3,29 +3,30 @@
 For each language a model of orders 1 to ORDER is estimated from the words of a bounded sample of its
 documents. All models live together in sorted arrays of n-gram hashes, one column a language, searched
 by bisection. A text gets the language of the lowest cross-entropy per character; it is rejected if that
-is higher than nearly all training text of the language shows (the limit is calibrated on held-back
-documents of the sample).
+is nearer to text of shuffled letters than to text of the language (the limit is calibrated on held-back
+documents of the sample, see _limit).
 
 Words are maximal runs of letters, lower-cased, with a boundary before and after; n-grams stay inside.
 
 Cases: null, empty and letterless texts are `und` with score 0 and are rejected; ties between languages
 go to the first in alphabetical order; a text of any length is scored whole; repeated rows get equal
-results; without any training rows every text is `und`. Other columns play no part.
+results; without any training rows every text is `und`. Other columns play no part and are passed on; a column lang_id
+of the caller's is replaced. Null ids are not held out. Labels that repeat, and rows that repeat, count as often as they are there.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import arrow_udf, stage, table
+from quillstack.llm.common import arrow_udf, bound, draw, stage, table
 from quillstack.llm.hashing import U, mix
 
 ORDER = 5
@@ -33,10 +34,12 @@ ORDER = 5
 SAMPLE_DOCS = 600
 #: Tokens that a worker remembers, up to what length, and the texts it works on at a time.
 CACHE, CACHED_CHARS, ROWS = 300_000, 48, 200
+#: Of dirty language columns only so many values are learned, the most frequent ones.
+MOST_LANGUAGES = 400
 UND = "und"
-#: Rejection: cross-entropy per character beyond the calibration documents' mean by so many deviations, and by MARGIN nats at least.
-DEVIATIONS, MARGIN = 8.0, 2.0
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Rejection: the share of held-back documents, and of shuffled ones, that may lie beyond the points the limit is set between.
+TAIL = 0.01
+LETTERS = regex.compile(r"\p{L}+")
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -189,12 +192,29 @@ def train(counts: dict[str, list[tuple[str, int]]], calibration: dict[str, list[
         h, one = np.unique(np.concatenate(keys), return_index=True)
         models.whole = (h, np.concatenate(rows)[one])
     for column, language in enumerate(languages):
-        seen = [-models.words(doc)[:, column].sum() / sum(len(w) + 1 for w in doc) for doc in calibration.get(language, []) if doc]
-        if seen:
-            models.limits[column] = np.mean(seen) + max(MARGIN, DEVIATIONS * np.std(seen))
+        models.limits[column] = _limit(models, column, [doc for doc in calibration.get(language, []) if doc])
     return models
 
 
+def _limit(models: Models, column: int, docs: list[list[str]]) -> float:
+    """Half-way between the entropies of held-back documents, but for the highest hundredth, and those of the
+    same documents with their letters shuffled, but for the lowest hundredth. Nothing is rejected without documents."""
+
+    def entropy(doc: list[str]) -> float:
+        return -models.words(doc)[:, column].sum() / sum(len(w) + 1 for w in doc)
+
+    def shuffled(doc: list[str], draw: np.random.Generator) -> list[str]:
+        letters = iter(draw.permutation(list("".join(doc))))
+        return ["".join(next(letters) for _ in w) for w in doc]
+
+    if not docs:
+        return np.inf
+    draw = np.random.default_rng(len(docs))
+    clean, junk = [entropy(d) for d in docs], [entropy(shuffled(d, draw)) for d in docs]
+    high, low = np.quantile(clean, 1 - TAIL), np.quantile(junk, TAIL)
+    return float(max(high, low) + high) / 2
+
+
 class Scorer:
     """Cross-entropies of whole texts. Each different token is scored once, together with the other new ones
     of a few hundred texts, and kept as a row of a table that starts afresh when it is full."""
@@ -275,21 +295,23 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Learn from text and lang of documents that are not held out: about sample_docs of each language,
-    drawn by a hash of the row so that every partition and source has its share."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn by a hash of the row so that every partition and source has its share. Of languages the MOST_LANGUAGES most frequent are learned."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return train({}, {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, int(min(1.0, sample_docs / n) * 1_000_000)))])
-    sample = stage(rows.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.lower("text").alias("text")))
+    bounds = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, bound(sample_docs / n))])
+    taken = draw("doc_id", "text", F.lit("langid")) <= bounds[F.col("lang")]
+    checks = F.pmod(F.xxhash64("doc_id", "text", F.lit("calibration")), F.lit(5)) == 0
+    sample = stage(rows.where(taken).select("lang", checks.alias("checks"), F.lower("text").alias("text")))
     run = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")
-    used = sample.where("draw % 5 <> 0 or draw = 0").select("lang", run).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, list] = defaultdict(list)
-    for lang, word, n in used.orderBy("lang", "word").toLocalIterator():
+    for lang, word, n in sample.where("not checks").select("lang", run).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "word").toLocalIterator():
         counts[lang].append((word, n))
+    if not counts and sample.isEmpty():
+        raise RuntimeError("the sample of labelled documents is empty")
     calibration: dict[str, list] = defaultdict(list)
-    for lang, text in sample.where("draw % 5 = 0").select("lang", "text").toLocalIterator():
+    for lang, text in sample.where("checks").select("lang", "text").toLocalIterator():
         calibration[lang].append(LETTERS.findall(text))
     return train(dict(counts), dict(calibration))
 

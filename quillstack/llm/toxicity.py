@@ -8,7 +8,9 @@ sample documents keep zero weight. Terms whose own label rate does not stand out
 they do not learn single documents by heart, but may count through their pairs.
 
 Cases: null, empty and wordless texts get the bias alone; rows without a label teach nothing; a row
-labelled twice counts twice; a text of any length is scored whole; without any labels every score is 0.
+labelled twice counts twice, and so does a repeated row; null ids are scored and not held out, and labels of null ids
+teach nothing; a text of any length is scored whole; without any labels every score is 0. Other columns are passed on;
+a column toxicity of the caller's is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import Memo, arrow_udf, table
+from quillstack.llm.common import Memo, arrow_udf, bound, draw, table
 
 BUCKETS = 1 << 18
 FACTORS = 6
@@ -154,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     n = usable.count()
     if not n:
         return train([])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < max(1, int(min(1.0, sample_docs / n) * 1_000_000))
-    rows = docs.where(draw).select("doc_id", hasher()(F.col("text")).alias("terms")).join(usable.where(draw), "doc_id").orderBy("doc_id", "toxic", F.hash("terms"))
+    taken = draw("doc_id", F.lit("toxicity")) <= bound(sample_docs / n)
+    rows = docs.where(taken).select("doc_id", hasher()(F.col("text")).alias("terms")).join(usable.where(taken), "doc_id").orderBy("doc_id", "toxic", F.hash("terms"))
     return train([(np.array(r["terms"], np.int64), r["toxic"]) for r in rows.select("terms", "toxic").toLocalIterator()])
 
 
