@@ -221,11 +221,12 @@ def default_vocabulary() -> str:
 
 
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """df with columns ids (array<int>) and decoded (string) added or replaced."""
+    """df with columns ids (array<int>) and decoded (string); the caller's of these names are replaced, all others kept."""
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         content = f.read()
-    done = df.withColumn("_codec", codec(df.sparkSession, content)(F.col(text)))
-    return done.withColumns({"ids": F.col("_codec.ids"), "decoded": F.col("_codec.decoded")}).drop("_codec")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    done = df.select(row, codec(df.sparkSession, content)(F.col(f"`{text}`")).alias("made"))
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in ("ids", "decoded")], "made.ids", "made.decoded")
 
 
 def ids_digest(ids: Column) -> Column:

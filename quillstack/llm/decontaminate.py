@@ -15,7 +15,8 @@ MAX_ITEM_BYTES at most, sent to all executors; a longer one is worked off in par
 
 Cases: null and empty texts match nothing, neither do items without words; items of fewer than five words
 are one shingle; items that repeat are reported each; a window is reported for its best place only;
-repeated rows give equal results; documents of any length are read whole.
+repeated rows give equal results; documents of any length are read whole. Other columns are passed on; a column matches
+of the caller's is replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ account (an identifier after a cue such as `token =`) and address (a URL with us
 numeric host).
 
 Cases: a null or empty text has no spans; offsets count code points, the end is exclusive; spans of
-different kinds may overlap; repeated rows get equal results.
+different kinds may overlap; repeated rows get equal results. Other columns are passed on; a column spans of the caller's
+is replaced.
 """
 
 from __future__ import annotations

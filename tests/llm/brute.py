@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import regex
 
-from quillstack.llm import decontaminate, pii
+from quillstack.llm import pii
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,13 +65,18 @@ def without_repeats(docs, window=35):
     return out
 
 
+def luhn(digits):
+    doubled = [int(d) * (1 + k % 2) for k, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
 def personal_data(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
     for kind, pattern in patterns.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            bad = kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (12 <= len(digits) <= 19 and pii.luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15
+            bad = kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 9 <= len(digits) <= 15
             if not bad:
                 out.append((m.start(), pii.KINDS.index(kind), m.end()))
     return sorted(out)
@@ -91,8 +96,8 @@ def distance(a, b):
     return row[-1]
 
 
-def dedup_lines(docs, fingerprint):
-    """docs (id, text), unique ids; fingerprint: of a normalised line. Returns id -> text that is left."""
+def dedup_lines(docs):
+    """docs (id, text), unique ids. Returns id -> text that is left, by edit similarity alone."""
     places = defaultdict(list)
     for i, t in sorted(docs):
         for k, line in enumerate((t or "").split("\n")):
@@ -103,7 +108,7 @@ def dedup_lines(docs, fingerprint):
         groups.find(a)
         for b in lines[k + 1 :]:
             longest = max(len(a), len(b))
-            if bin(fingerprint[a] ^ fingerprint[b]).count("1") <= 3 and min(len(a), len(b)) >= 0.9 * longest and distance(a, b) <= int(longest * 0.1 + 1e-9):
+            if min(len(a), len(b)) >= 0.9 * longest and distance(a, b) <= int(longest * 0.1 + 1e-9):
                 groups.join(a, b)
     first = {}
     for n in lines:
@@ -116,15 +121,29 @@ def dedup_lines(docs, fingerprint):
     return keep
 
 
+def weighted_shingles(words):
+    """Five-word shingles, as often as they occur; each weighs as many letters as it has."""
+    n = min(5, len(words))
+    out = Counter()
+    for k in range(len(words) - n + 1 if n else 0):
+        out[tuple(words[k : k + n])] += sum(map(len, words[k : k + n]))
+    return out
+
+
+def resemblance(a, b):
+    both = sum(min(w, b[s]) for s, w in a.items())
+    return both / max(sum(a.values()) + sum(b.values()) - both, 1)
+
+
 def contaminated(text, items):
-    """Ids of the items that some window of their length resembles."""
-    words = decontaminate.WORDS.findall((text or "").lower())
-    codes = decontaminate.word_codes(words)
+    """Ids of the items that some window of their length, or a shorter text as a whole, resembles."""
+    words = re.findall(r"\w+", (text or "").lower())
     out = set()
     for item_id, item in items:
-        own = decontaminate.WORDS.findall(item.lower())
-        if own and len(own) <= len(words):
-            goal, n = decontaminate.weighted(own, decontaminate.word_codes(own)), len(own)
-            if any(decontaminate.similarity(decontaminate.weighted(words[k : k + n], codes[k : k + n]), goal) >= 0.75 for k in range(len(words) - n + 1)):
+        own = re.findall(r"\w+", item.lower())
+        n = min(len(own), len(words))
+        if n and (n == len(own) or n >= 5):
+            goal = weighted_shingles(own)
+            if any(resemblance(weighted_shingles(words[k : k + n]), goal) >= 0.75 for k in range(len(words) - n + 1)):
                 out.add(item_id)
     return out

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 from collections import defaultdict
 
@@ -13,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.llm import bpe, decontaminate, langid, lines, minhash, pii, substring, topk, toxicity, warc
-from quillstack.llm.common import attach, stage
+from quillstack.llm.common import LAST_DRAW, attach, bound, stage
+from quillstack.llm.common import draw as drawn_number
 from quillstack.llm.components import components
 from tests.llm import brute
 
@@ -119,11 +121,46 @@ def test_language_cases(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_letters_decide_about_und(spark):
+    models = langid.train({"en": [("the", 5), ("dog", 3)]}, {})
+    texts = ["²", "½", "Ⅷ ①", "٣", "_", "²a", "ñ"]
+    df = spark.createDataFrame([(t, "mine") for t in texts], "text string, lang_id string")
+    assert [r["lang_id"]["lang_pred"] for r in langid.predict(df, models).collect()] == ["und"] * 5 + ["en"] * 2
+
+
+def test_rejection_is_calibrated(spark):
+    """Of documents that the limit was not made from: clean ones stay, shuffled and foreign ones go."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    models = langid.fit(docs)
+    draw = random.Random(3)
+    texts = [r["text"] for r in docs.where(langid.held_out(F.col("doc_id")) & (F.length("text") > 200)).orderBy("doc_id").collect()]
+
+    def mixed(text):
+        letters = [c for c in text if c.isalpha()]
+        draw.shuffle(letters)
+        left = iter(letters)
+        return "".join(next(left) if c.isalpha() else c for c in text)
+
+    share = lambda made: np.mean([r["lang_id"]["accepted"] for r in langid.predict(spark.createDataFrame([(t,) for t in made], "text string"), models).collect()])
+    print("accepted: clean", share(texts), "shuffled", share([mixed(t) for t in texts]))
+    assert share(texts) >= 0.99 and share([mixed(t) for t in texts]) <= 0.02 and share(["Съешь же ещё этих мягких французских булок", "漢字かな交じり文の例" * 3]) == 0
+
+
+@pytest.mark.parametrize("n", [3, 6 * 10**8, 10**10, 10**13])
+def test_no_share_of_a_sample_is_too_small(spark, n):
+    """What is drawn of n rows: the bound is never nought, and a million draws are about the share."""
+    assert bound(600 / n) >= 1 and bound(1.0) == bound(200.0) == LAST_DRAW
+    drawn = spark.range(1_000_000).where(drawn_number("id") <= bound(600 / n)).count()
+    expected = min(1.0, 600 / n) * 1e6
+    assert abs(drawn - expected) <= 6 * math.sqrt(expected) + 1
+
+
 def test_kneser_ney_sums_to_one():
     models = langid.train({"a": [("abab", 3), ("abba", 2), ("bab", 1)], "b": [("bbbb", 2)]}, {})
     for before in ("", "a", "ab", "abab", "zz"):
         total = sum(np.exp(_last(models, before + c)) for c in "ab") + np.exp(_end(models, before))
-        assert 0.2 < total <= 1 + 1e-6  # the rest is for characters never seen
+        assert 0.9 < total <= 1 + 1e-6  # the rest is for characters never seen
 
 
 def _last(models, word):
@@ -157,9 +194,55 @@ def test_topk_few_and_repeated(spark):
     assert sorted(map(tuple, topk.top_k(v.where("vec_id = 0"), v).collect())) == [(0, 1, 1, 11), (0, 2, 1, 11)]
 
 
-def test_topk_large_numbers():
-    c = np.array([[2.0**31 - 1] * 4, [-(2.0**31)] * 4])
-    assert topk.exact(c, c[0]).tolist() == [4 * (2**31 - 1) ** 2, -4 * 2**31 * (2**31 - 1)]
+def brute_top(vectors, queries, k=5):
+    """vectors: (id, list of Python integers)."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    out = []
+    for q, v in queries:
+        scores = sorted((-min(max(sum(a * b for a, b in zip(v, w)), low), high), i) for i, w in vectors if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+def test_topk_components_of_any_size(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, [draw.choice([1e10, -1e10, 3.7e9, 1e200, -2e300, 5e-324, -1e-9, 0.5, 123456.789]) for _ in range(4)], "x") for i in range(60)]
+    rows += [(60, [1.7e308] * 4, "x"), (61, [], "x")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = [(i, [math.floor(256 * x) for x in v] if all(abs(256 * x) < 2**51 for x in v) else [int(256 * x) if abs(256 * x) >= 2**51 else math.floor(256 * x) for x in v]) for i, v, _ in rows if i != 60]
+    assert sorted(map(tuple, topk.query(spark, str(tmp_path)).collect())) == brute_top(whole, [w for w in whole if w[0] % 50 == 0])
+
+
+def test_topk_prunes_and_stays_exact():
+    """Shards of several sizes, with ties, against plain products; thresholds leave most candidates unscored."""
+    draw = np.random.default_rng(3)
+    c = np.floor(draw.normal(0, 60, (3000, 24)) * np.linspace(4, 0.1, 24))
+    c[1000:1040] = c[7]
+    ids = np.arange(3000)
+    shard = topk.Shard(ids, c)
+    q = c[::50]
+    exact = c @ q.T
+    exact[ids[::50], np.arange(len(q))] = -np.inf
+    expected = [sorted(((int(s), int(i)) for i, s in enumerate(exact[:, n]) if np.isfinite(s)), key=lambda x: (-x[0], x[1]))[:5] for n in range(len(q))]
+    none = list(shard.search(ids[::50], q, np.full(len(q), -np.inf), 5))
+    assert none == expected
+    best = np.array([float(e[-1][0]) for e in expected])
+    assert list(shard.search(ids[::50], q, best, 5)) == expected
+    assert all(not top for top in shard.search(ids[::50], q, np.full(len(q), 1e9), 5))
+
+
+def test_topk_shuffles_in_proportion(spark, tmp_path, monkeypatch):
+    """Four times the vectors, in shards of one size: each candidate is in one shard, and a shard gives k rows a query."""
+    monkeypatch.setattr(topk, "SHARD", 256)
+    draw = np.random.default_rng(5)
+    made = {}
+    for n in (500, 2000):
+        df = spark.createDataFrame([(i, draw.integers(-99, 99, 6).astype(float).tolist()) for i in range(n)], "vec_id long, v array<double>")
+        rows = topk.top_k(df.where("vec_id % 50 = 0"), df).collect()
+        made[n] = len(rows)
+        vectors = [(r["vec_id"], [int(x) for x in r["v"]]) for r in df.collect()]
+        assert sorted(map(tuple, rows)) == brute_top(vectors, [v for v in vectors if v[0] % 50 == 0])
+    assert made == {500: 50, 2000: 200}
 
 
 def test_minhash(spark, folder, docs):
@@ -228,14 +311,8 @@ def test_pii_accounts_are_whole():
     assert (0, 5, len(url)) in pii.find(url)
 
 
-def fingerprints(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS _k", "doc_id", "text")
-    split = {i: (t or "").split("\n") for i, t in rows}
-    return {brute.normal_line(split[r["doc_id"]][r["at"]]): r["fingerprint"] for r in lines.lines_of(df).collect()}
-
-
 def test_lines(spark, folder, docs):
-    expected = brute.dedup_lines(docs, fingerprints(spark, docs))
+    expected = brute.dedup_lines(docs)
     rows = lines.query(spark, folder).collect()
     assert {r["doc_id"]: r["kept_sha256"] for r in rows if r["kept_sha256"]} == {i: brute.sha(t) for i, t in expected.items()}
     assert {r["doc_id"]: r["n_removed"] for r in rows}[69] == 1
@@ -250,7 +327,7 @@ def test_line_families_and_long_lines(spark):
         words[draw.randrange(120)] = draw.choice(W)
         rows.append((k, " ".join(words)))
     rows += [(50, " ".join(W[:700])), (51, " ".join(W[:700]) + " x"), (52, "\n\n"), (53, "a"), (54, "A!\nb")]
-    expected = brute.dedup_lines(rows, fingerprints(spark, rows))
+    expected = brute.dedup_lines(rows)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, drop int")
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == expected
 
@@ -273,7 +350,102 @@ def test_lines_against_edit_similarity(spark):
     texts += [han, han[:30] + "x" + han[31:], "abcdefghijklmnopqr", "abcdefghiXjklmnopqr"]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == brute.dedup_lines(rows, defaultdict(int))
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == brute.dedup_lines(rows)
+
+
+def changed(draw, words, kind):
+    """The words with one letter or word changed, or with as many words as ten characters in a hundred allow."""
+    words = list(words)
+    size = len(" ".join(words))
+    if kind == "letter":
+        at = draw.randrange(len(words))
+        k = draw.randrange(len(words[at]))
+        words[at] = words[at][:k] + "z" + words[at][k + 1 :]
+    elif kind == "word":
+        words[draw.randrange(len(words))] = draw.choice(W)
+    else:
+        left = size // 10
+        while left >= 6:
+            at = draw.randrange(len(words))
+            new = draw.choice(W)
+            left -= max(len(words[at]), len(new))
+            words[at] = new
+    return words
+
+
+def test_recall_of_similar_lines(spark):
+    """Held against the edit distance alone, for lines of 3 to 100 words and three kinds of change."""
+    draw = random.Random(21)
+    rows, linked, equal = [], defaultdict(list), set()
+    for n in (3, 5, 8, 12, 20, 40, 100):
+        for kind in ("letter", "word", "words"):
+            for _ in range(40):
+                base = draw.sample(W, n)
+                a, b = " ".join(base), " ".join(changed(draw, base, kind))
+                if a != b and brute.distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+                    linked[n].append(len(rows) + 1)
+                equal |= {len(rows) + 1} if a == b else set()
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
+    recall = {n: sum(i in gone for i in ids) / len(ids) for n, ids in linked.items()}
+    print("recall by words a line", recall)
+    assert set(recall) == {3, 5, 8, 12, 20, 40, 100} and min(recall.values()) >= 0.9, recall
+    assert gone <= equal | {i for ids in linked.values() for i in ids}
+
+
+def compared_pairs(monkeypatch, module):
+    """What link_buckets() returns to a module, call by call."""
+    calls, plain = [], module.link_buckets
+    monkeypatch.setattr(module, "link_buckets", lambda *a: calls.append(plain(*a)) or calls[-1])
+    return calls
+
+
+def family(draw, base, n, changes):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(draw.randint(*changes)):
+            words[draw.randrange(len(words))] = draw.choice(W)
+        out.append(" ".join(words))
+    return out
+
+
+def test_large_family_of_near_copies_is_no_square(spark, monkeypatch):
+    """Four times the copies, some too far from all others: about four times the pairs, and the groups of brute force."""
+    calls = compared_pairs(monkeypatch, minhash)
+    draw = random.Random(12)
+    base = draw.sample(W, 150)
+    copies = family(draw, base, 600, (0, 7))
+    for n in (150, 600):
+        rows = list(enumerate(copies[:n]))
+        found = {r["doc_id"]: r["component_id"] for r in minhash.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n == 150:
+            assert found == {i: c for i, (_, c) in brute.near_components(rows).items()}
+    small, large = (c.compared for c in calls)
+    assert large <= 6 * small and large <= 600 * 20
+
+
+def test_large_family_of_lines_is_no_square(spark, monkeypatch):
+    calls = compared_pairs(monkeypatch, lines)
+    draw = random.Random(13)
+    base = draw.sample(W, 40)
+    copies = family(draw, base, 800, (0, 6))
+    for n in (200, 800):
+        rows = list(enumerate(copies[:n]))
+        left = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=False).collect()}
+        if n == 200:
+            assert sum(t != "" for t in left.values()) <= 1.1 * sum(t != "" for t in brute.dedup_lines(rows).values())
+    small, large = (c.compared for c in calls)
+    assert large <= 8 * small
+
+
+def test_line_columns_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c", 7, "x", None)], "doc_id long, text string, n_lines int, `a.b` string, keys string")
+    rows = lines.dedup_lines(df)
+    assert rows.columns == ["doc_id", "text", "a.b", "keys", "n_lines", "n_removed"] and tuple(rows.first()) == (1, "a b c", "x", None, 2, 1)
+    assert lines.dedup_lines(df, counts=False).columns == df.columns
+    assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 127, 128, 300, 5000])
@@ -443,6 +615,7 @@ def test_warc_gaps_are_rows(spark, tmp_path):
     assert [(r["problem"] is None, r["payload"]) for r in rows] == [(True, b"x"), (False, None), (True, b"x")] and rows[1]["end"] - rows[1]["start"] == 7
 
 
-def test_top_k_join_of_tables_without_rows():
-    none = pa.table({"vec_id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.int32()))})
-    assert topk.joined(none, none, 5).num_rows == 0
+def test_top_k_of_tables_without_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, v array<double>")
+    some = spark.createDataFrame([(1, [1.0])], "vec_id long, v array<double>")
+    assert topk.top_k(none, none).count() == topk.top_k(none, some).count() == topk.top_k(some, none).count() == 0
