@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import metrics as M
 from quillstack.functions import text as T
 from quillstack.operators import corpus as C
+from quillstack.operators import geometry as G
 from quillstack.operators import usage as U
 from quillstack.operators.numbering import number_within
 from quillstack.plans import standins as S
@@ -464,3 +465,29 @@ def pages_with_lines(spark, sf_dir):
 def inferred_kinds(spark, sf_dir):
     new = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" "))).otherwise(F.concat("text", F.lit(".")))
     return S.read(spark, sf_dir, "conversations").select("conv_id", "turn", C.inferred_kind(new, F.col("text"), F.col("turn") % 5 == 0).alias("kind"))
+
+
+SEGMENTS = "l_orderkey AS page_id, l_partkey % 97 AS x1, l_suppkey % 89 AS y1, l_partkey % 31 AS x2, l_linenumber * 13 AS y2"
+
+
+@query(f"""SELECT page_id, count(*) FILTER (WHERE a < 20 OR a > 160) AS horizontal, count(*) FILTER (WHERE a > 70 AND a < 110) AS vertical
+  FROM (SELECT page_id, abs(degrees(atan2(y2 - y1, x2 - x1))) % 180 AS a FROM (SELECT {SEGMENTS} FROM lineitem)) GROUP BY 1""")
+def orientation_votes(spark, sf_dir):
+    return G.orientation_votes(S.read(spark, sf_dir, "lineitem").selectExpr(*SEGMENTS.split(", ")))
+
+
+@query("""SELECT sheet_id, x[1] AS x1, y[1] AS y1, x[2] AS x2, y[2] AS y2, x[3] AS x3, y[3] AS y3, x[4] AS x4, y[4] AS y4 FROM (
+  SELECT l_orderkey AS sheet_id, list_transform(p, lambda a: a.x) AS x, list_transform(p, lambda a: a.y) AS y FROM (
+    SELECT l_orderkey, [list(q ORDER BY x + y, l_linenumber, x, y)[1], list(q ORDER BY y - x, l_linenumber, x, y)[1], list(q ORDER BY -x - y, l_linenumber, x, y)[1], list(q ORDER BY x - y, l_linenumber, x, y)[1]] AS p
+    FROM (SELECT *, {'x': x, 'y': y} AS q FROM (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS x, l_suppkey % 100 AS y FROM lineitem)) GROUP BY 1))""")
+def ordered_corners(spark, sf_dir):
+    points = S.read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sheet_id", "l_linenumber AS place", "l_partkey % 100 AS x", "l_suppkey % 100 AS y")
+    corner = lambda i, c: F.col("corners")[i][c].alias(f"{c}{i + 1}")
+    return G.ordered_corners(points).select("sheet_id", *[corner(i, c) for i in range(4) for c in ("x", "y")])
+
+
+@query("""SELECT doc_id, source || '_transcribed.docx' AS document, source || '_diplomatic.txt' AS diplomatic,
+  source || '_line' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(3, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') || '.png' AS line_image FROM documents""")
+def output_names(spark, sf_dir):
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", *[c.alias(n) for n, c in G.output_names(F.col("source"), F.col("doc_id")).items()])
