@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import Memo, arrow_udf, table
 
 #: Chunks and pre-tokens whose ids are remembered; longer ones are not worth a place.
-CACHE, CACHED_CHARS = 200_000, 64
+CACHE, CACHED_CHARS = 100_000, 64
 #: Bits of an id, and of a place in a pre-token.
 WIDTH = 40
 PLACE = (1 << WIDTH) - 1

@@ -33,7 +33,7 @@ ORDER = 5
 #: About so many documents of each language train the models; every fifth of them only calibrates.
 SAMPLE_DOCS = 600
 #: Tokens that a worker remembers, up to what length, and the texts it works on at a time.
-CACHE, CACHED_CHARS, ROWS = 300_000, 48, 200
+CACHE, CACHED_CHARS, ROWS = 150_000, 48, 200
 #: Of dirty language columns only so many values are learned, the most frequent ones.
 MOST_LANGUAGES = 400
 UND = "und"
