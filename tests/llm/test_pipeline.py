@@ -8,7 +8,6 @@ from pathlib import Path
 
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.test_operators import fingerprints
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -31,7 +30,7 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     named = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
-    cut = {i: t for i, t in brute.dedup_lines(named, fingerprints(spark, named)).items() if brute.normal_line(t)}
+    cut = {i: t for i, t in brute.dedup_lines(named).items() if brute.normal_line(t)}
     single = {i: cut[i] for i, (_, c) in brute.near_components(list(cut.items())).items() if i == c}
     clean = {i: t for i, t in single.items() if not brute.contaminated(t, items)}
     assert set(found) == set(clean) and 32 not in found and 0 in found and 30 not in found and 41 not in found
