@@ -128,6 +128,8 @@ def _similar_sketches(a: str, b: str) -> Column:
 class _Sets:
     """Shingle sets as link_buckets sees them; ids are set keys."""
 
+    rounds = 0
+
     def __init__(self, docs: DataFrame, doc_id: str, text: str, classes: DataFrame):
         self.docs, self.doc_id, self.text, self.classes = docs, doc_id, text, classes
 
@@ -148,6 +150,8 @@ class _Sets:
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("size"))
         return counted.where(F.col("common") * WHOLE >= (F.col("size") - F.col("common")) * PARTS)
 
+    open = near
+
     def tokens(self, ids: DataFrame) -> DataFrame:
         n = F.size("shingles")
         return self.sets.join(ids, "id").select("id", n.alias("n"), n.alias("size"), F.explode("shingles").alias("token"))

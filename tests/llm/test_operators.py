@@ -614,3 +614,27 @@ def test_top_k_of_tables_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, v array<double>")
     some = spark.createDataFrame([(1, [1.0])], "vec_id long, v array<double>")
     assert topk.top_k(none, none).count() == topk.top_k(none, some).count() == topk.top_k(some, none).count() == 0
+
+
+def test_pairs_of_short_lines_that_share_a_piece(spark, monkeypatch):
+    """Character pairs rule out most lines that share a piece by chance; linked ones are all found."""
+    calls = compared_pairs(monkeypatch, lines)
+    draw = random.Random(31)
+    texts = ["".join(draw.choice("abcdefghijklmnoprstuvwxyz") for _ in range(31)) + "quantities" for _ in range(150)]
+    texts += [t[:20] + "q" + t[21:] for t in texts[:20]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, counts=False).collect()} == brute.dedup_lines(rows)
+    assert calls[-1].compared <= 300
+
+
+def test_far_fingerprints_do_not_drop_a_line(spark, monkeypatch):
+    """Lines that share a key are linked by their edit distance, however far their SimHashes are apart."""
+    monkeypatch.setattr(lines, "RADIUS", -1)
+    draw = random.Random(32)
+    rows = []
+    for n in (20, 30, 60):
+        base = draw.sample(W, n)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "q"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, counts=False).collect()} == brute.dedup_lines(rows)
