@@ -628,6 +628,29 @@ def test_pairs_of_short_lines_that_share_a_piece(spark, monkeypatch):
     assert calls[-1].compared <= 300
 
 
+def test_pairs_of_lines_are_compared_without_a_table(spark, monkeypatch):
+    """Short and long lines are linked by their edit distance, and no table is written on the way."""
+    draw = random.Random(33)
+    texts = []
+    for n in (12, 90, 240):
+        base = draw.sample(W, n)
+        for share in (0.02, 0.06, 0.12, 0.9):
+            texts.append((" ".join(base), " ".join(draw.choice(W) if draw.random() < share else w for w in base)))
+        texts.append((" ".join(base), " ".join(base[1:] + base[:1])))
+    allowed = [int(max(map(len, t)) * (1 - lines.SIMILARITY) + 1e-9) for t in texts]
+    expected = {i for i, (a, b) in enumerate(texts) if brute.distance(a, b) <= allowed[i]}
+    assert 3 <= len(expected) <= len(texts) - 3
+    kind = lines._Lines(None, None)
+    kind.texts = spark.createDataFrame([(2 * i + k, t[k]) for i, t in enumerate(texts) for k in (0, 1)], "id long, norm string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(texts))], "a long, b long")
+
+    def no_table(*args, **kwargs):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(lines, "stage", no_table)
+    assert {r["a"] // 2 for r in kind.verify(pairs).collect()} == expected
+
+
 def test_far_fingerprints_do_not_drop_a_line(spark, monkeypatch):
     """Lines that share a key are linked by their edit distance, however far their SimHashes are apart."""
     monkeypatch.setattr(lines, "RADIUS", -1)
