@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import Memo, arrow_udf, table
 
 #: Chunks and pre-tokens whose ids are remembered; longer ones are not worth a place.
-CACHE, CACHED_CHARS = 100_000, 64
+CACHE, CACHED_CHARS = 150_000, 64
 #: Bits of an id, and of a place in a pre-token.
 WIDTH = 40
 PLACE = (1 << WIDTH) - 1
@@ -85,7 +85,6 @@ class Vocabulary:
         self.made = [vocab[a + b] for a, b in merges]
         self.newer, self.split, self.split_newer = splitters()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tokens = Memo(self._packed, CACHE)
         self.chunks = Memo(self._chunk, CACHE)
         size = max(self.bytes) + 1
         self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(size)])
@@ -126,8 +125,12 @@ class Vocabulary:
         return array("i", self.merge(token.encode())).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        """Most chunks are one pre-token. The pre-tokens of others are remembered as the chunks that they would be."""
         split = self.split if chunk.isascii() or not self.newer.search(chunk) else self.split_newer
-        return b"".join([self.tokens[t] if len(t) <= CACHED_CHARS else self._packed(t) for t in split.findall(chunk)])
+        found = split.findall(chunk)
+        if len(found) == 1:
+            return self._packed(chunk)
+        return b"".join([self.chunks[t] if len(t) <= CACHED_CHARS else self._packed(t) for t in found])
 
     def _plain(self, text: str) -> bytes:
         chunks = self.chunks

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.llm import bpe, decontaminate, langid, lines, minhash, pii, substring, topk, toxicity, warc
-from quillstack.llm.common import LAST_DRAW, attach, bound, stage
+from quillstack.llm.common import LAST_DRAW, Memo, attach, bound, stage
 from quillstack.llm.common import draw as drawn_number
 from quillstack.llm.components import components
 from tests.llm import brute
@@ -661,3 +661,13 @@ def test_far_fingerprints_do_not_drop_a_line(spark, monkeypatch):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "q"]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, counts=False).collect()} == brute.dedup_lines(rows)
+
+
+def test_bpe_remembers_a_word_once():
+    """Chunks and pre-tokens share one memo, so that a worker's memory holds twice as many."""
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    whole = vocabulary.encode("some words some words, don't12 x''s")
+    memos = [x for x in vars(vocabulary).values() if isinstance(x, Memo)]
+    assert len([k for m in memos for k in m if k == " words"]) == 1
+    assert vocabulary.decode(whole) == "some words some words, don't12 x''s"
