@@ -128,7 +128,7 @@ def _similar_sketches(a: str, b: str) -> Column:
 class _Sets:
     """Shingle sets as link_buckets sees them; ids are set keys."""
 
-    rounds = 0
+    rounds, neighbours = 0, 0
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, classes: DataFrame):
         self.docs, self.doc_id, self.text, self.classes = docs, doc_id, text, classes

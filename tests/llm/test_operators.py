@@ -671,3 +671,34 @@ def test_bpe_remembers_a_word_once():
     memos = [x for x in vars(vocabulary).values() if isinstance(x, Memo)]
     assert len([k for m in memos for k in m if k == " words"]) == 1
     assert vocabulary.decode(whole) == "some words some words, don't12 x''s"
+
+
+def test_letters_bound_the_edit_distance(spark):
+    """Counted letters that a line has and another lacks; a sum beyond a counter's width only turns out smaller."""
+    draw = random.Random(43)
+    texts = [("".join(draw.choices("abcxyz é0"[: draw.randint(2, 9)], k=draw.randint(0, 40))), "".join(draw.choices("abcxyz é0", k=draw.randint(0, 40)))) for _ in range(60)]
+    df = spark.createDataFrame([*texts, ("a" * 40_000, "b"), ("ab" * 20_000, "c" * 40_000)], "a string, b string").withColumns({"n": F.length("a"), "m": F.length("b")})
+    found = [r["x"] for r in df.select(lines.more_letters(lines.letters("a", "n"), lines.letters("b", "m")).alias("x")).collect()]
+
+    def more(a, b):
+        a, b = ([c if c in lines.COUNTED else "?" for c in t] for t in (a, b))
+        return sum(max(0, a.count(c) - b.count(c)) for c in set(a))
+
+    assert found[:-2] == [more(a, b) for a, b in texts]
+    assert all(0 <= x <= 40_000 for x in found[-2:])
+
+
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """Lines that have a long passage in common, and little else, are not compared pair by pair."""
+    draw, n = random.Random(44), 40
+    passage = " ".join(draw.sample(W, 45))
+    rows = []
+    for i in range(n):
+        few = draw.sample("bcdfghjklmnpqrstvwxz", 4)
+        rows.append((i, " ".join("".join(draw.choices(few, k=5)) for _ in range(20)) + " " + passage))
+    rows += [(100 + i, rows[i][1].replace(passage.split()[7], "changed")) for i in range(5)]
+    calls = compared_pairs(monkeypatch, lines)
+    monkeypatch.setattr(lines._Lines, "neighbours", 0, raising=False)
+    left = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=False)
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == {i: t if i < n else "" for i, t in rows}
+    assert calls[-1].compared <= 0.25 * n * (n - 1) / 2
